@@ -145,47 +145,73 @@ def tune(
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 8,
+    folds_at_once: int = FOLDS,
 ) -> dict[str, tuple[dict, float]]:
     """Best parameters and mean fold AUC per family, by stratified cross-validation.
 
-    Preprocessing and class weights are learned inside each fold, once for the whole grid,
-    and the fold's vectors stay cached while its models are fitted in parallel. On equal means
-    the earlier grid point wins.
+    Preprocessing and class weights are learned inside each fold, once for the whole grid.
+    The vectors of the folds under way stay cached while their models are fitted by parallel
+    jobs; ``folds_at_once`` bounds how many copies of the data that is. On equal means the
+    earlier grid point wins.
     """
     folded = with_folds(train, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = [(family, setting) for family in families for setting in family.settings()]
-    scores = [0.0] * len(tasks)
-    keep = ["_held", LABEL, WEIGHT, FEATURES_COL]
+    settings = [(family, setting) for family in families for setting in family.settings()]
+
+    def prepare(fold: int):
+        held = folded.withColumn("_held", F.col("fold") == fold)
+        fitted = Pipeline(stages=training_stages()).fit(held.filter(~F.col("_held")))
+        vectors = fitted.transform(held).select("_held", LABEL, WEIGHT, FEATURES_COL)
+        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        return vectors, vectors.filter(~F.col("_held")).count()
+
+    def run(task) -> float:
+        (vectors, n), (family, setting) = task
+        fitted = family.build(setting, n).fit(vectors.filter(~F.col("_held")))
+        return auc(fitted.transform(vectors.filter(F.col("_held"))))
+
+    scores = [0.0] * len(settings)
     try:
-        for fold in range(folds):
-            held = folded.withColumn("_held", F.col("fold") == fold)
-            prepare = Pipeline(stages=training_stages()).fit(held.filter(~F.col("_held")))
-            vectors = prepare.transform(held).select(keep).persist(StorageLevel.MEMORY_AND_DISK)
-            fit_rows = vectors.filter(~F.col("_held"))
-            test_rows = vectors.filter(F.col("_held"))
-            n = fit_rows.count()
-
-            def run(task, fit_rows=fit_rows, test_rows=test_rows, n=n):
-                family, setting = task
-                return auc(family.build(setting, n).fit(fit_rows).transform(test_rows))
-
-            with ThreadPool(parallelism) as pool:
-                for i, value in enumerate(pool.map(inheritable_thread_target(run), tasks)):
-                    scores[i] += value / folds
-            vectors.unpersist()
+        with ThreadPool(parallelism) as pool:
+            for first in range(0, folds, folds_at_once):
+                batch = range(first, min(folds, first + folds_at_once))
+                prepared = in_parallel(pool, prepare, batch)
+                tasks = [(fold, setting) for setting in settings for fold in prepared]
+                for i, value in enumerate(in_parallel(pool, run, tasks)):
+                    scores[i // len(batch)] += value / folds
+                for vectors, _ in prepared:
+                    vectors.unpersist()
     finally:
         folded.unpersist()
     best: dict[str, tuple[dict, float]] = {}
-    for (family, setting), score in zip(tasks, scores, strict=True):
+    for (family, setting), score in zip(settings, scores, strict=True):
         if family.name not in best or score > best[family.name][1]:
             best[family.name] = (setting, score)
     return best
 
 
-def fit_pipeline(train: DataFrame, family: Candidate, setting: dict) -> PipelineModel:
-    """Preprocessing, weights and classifier fitted on the given feature rows."""
-    stages = [*training_stages(), family.build(setting, train.count())]
-    return Pipeline(stages=stages).fit(train)
+def in_parallel(pool: ThreadPool, work: Callable, items) -> list:
+    """Run independent Spark jobs from driver threads; results in order."""
+    spark = SparkSession.getActiveSession()
+    return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+
+
+def fit_pipelines(
+    train: DataFrame, chosen: list[tuple[Candidate, dict]], parallelism: int = 8
+) -> list[PipelineModel]:
+    """Full pipelines for several (family, parameters) on the same rows.
+
+    They share one fit of the preprocessing and one cached set of vectors.
+    """
+    prepared = Pipeline(stages=training_stages()).fit(train)
+    vectors = prepared.transform(train).select(LABEL, WEIGHT, FEATURES_COL)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = vectors.count()
+        with ThreadPool(parallelism) as pool:
+            fitted = in_parallel(pool, lambda c: c[0].build(c[1], n).fit(vectors), chosen)
+    finally:
+        vectors.unpersist()
+    return [PipelineModel([*prepared.stages, model]) for model in fitted]
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:

@@ -14,16 +14,22 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], small: int = SMALL
+    df: DataFrame,
+    columns: dict[str, Column],
+    probs: list[float],
+    small: int = SMALL,
+    totals: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per named column, NULLs left out.
 
     Few values: one ``percentile`` aggregation. Many: intervals around the wanted ranks are
     narrowed with ``percentile_approx`` and exact counts, one scan per round for all columns,
     until at most ``small`` distinct values remain in each; these are then ranked exactly.
+    ``totals`` are the columns' non-NULL counts, where the caller has them already.
     """
     data = df.select([c.cast("double").alias(name) for name, c in columns.items()])
-    totals = data.agg(*[F.count(name).alias(name) for name in columns]).first().asDict()
+    if totals is None:
+        totals = data.agg(*[F.count(name).alias(name) for name in columns]).first().asDict()
     if max(totals.values(), default=0) <= small:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         row = data.agg(*[F.percentile(name, wanted).alias(name) for name in columns]).first()

@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
-from keepwise.operators.models import FEATURES_COL, preprocessing
+from keepwise.operators.models import FEATURES_COL, in_parallel, preprocessing
 from keepwise.operators.prepare import enrich, prepare_features
 from keepwise.operators.quality import require_columns
 from keepwise.operators.split import SEED, id_hash
@@ -58,8 +58,7 @@ def best_kmeans(
     def run(start: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + start, maxIter=300, featuresCol=FEATURES_COL).fit(vectors)
 
-    runner = pool.map if pool else map
-    models = list(runner(inheritable_thread_target(run) if pool else run, range(starts)))
+    models = in_parallel(pool, run, range(starts)) if pool else [run(i) for i in range(starts)]
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

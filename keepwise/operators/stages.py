@@ -37,26 +37,37 @@ class NumericScaler(Estimator, HasInputCols, HasOutputCols, _Stage):
 
     def _fit(self, df: DataFrame) -> NumericScalerModel:
         columns = self.getInputCols()
-        medians = {c: 0.0 for c in columns}
-        if self.getOrDefault(self.impute):
-            found = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
-            medians = {c: found[c][0] if found[c][0] is not None else 0.0 for c in columns}
-            filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns}
-        else:
-            filled = {c: F.col(c).cast("double") for c in columns}
+        values = {c: F.col(c).cast("double") for c in columns}
         stats = df.agg(
-            *[F.avg(v).alias(f"m_{c}") for c, v in filled.items()],
-            *[F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items()],
+            F.count("*").alias("rows"),
+            *[F.count(v).alias(f"n_{c}") for c, v in values.items()],
+            *[F.avg(v).alias(f"m_{c}") for c, v in values.items()],
+            *[F.var_pop(v).alias(f"v_{c}") for c, v in values.items()],
         ).first()
-        model = NumericScalerModel().with_params(
+        medians = {}
+        if self.getOrDefault(self.impute):
+            totals = {c: stats[f"n_{c}"] for c in columns}
+            medians = {c: q[0] for c, q in exact_quantiles(df, values, [0.5], totals=totals).items()}
+        means, deviations = [], []
+        for c in columns:
+            fill = medians.get(c)
+            known, mean, variance = stats[f"n_{c}"], stats[f"m_{c}"] or 0.0, stats[f"v_{c}"] or 0.0
+            if fill is not None and known < stats["rows"]:
+                # Add the imputed rows, all equal to the median, to mean and variance.
+                share = known / stats["rows"]
+                centre = share * mean + (1 - share) * fill
+                variance = share * (variance + (mean - centre) ** 2) + (1 - share) * (fill - centre) ** 2
+                mean = centre
+            means.append(mean)
+            deviations.append(variance**0.5 or 1.0)
+        return NumericScalerModel().with_params(
             inputCols=columns,
             outputCols=self.getOutputCols(),
             impute=self.getOrDefault(self.impute),
-            medians=[medians[c] for c in columns],
-            means=[stats[f"m_{c}"] or 0.0 for c in columns],
-            deviations=[stats[f"s_{c}"] or 1.0 for c in columns],
+            medians=[medians.get(c) or 0.0 for c in columns],
+            means=means,
+            deviations=deviations,
         )
-        return model
 
 
 class NumericScalerModel(Model, HasInputCols, HasOutputCols, _Stage):
@@ -94,9 +105,8 @@ class ModeImputer(Estimator, HasInputCols, HasOutputCols, _Stage):
     def _fit(self, df: DataFrame) -> ModeImputerModel:
         columns = self.getInputCols()
         counted = level_counts(df, columns).filter(F.col("value").isNotNull())
-        top = counted.groupBy("column").agg(F.max("n").alias("n"))
-        # One row per column on the small side, whatever the number of levels.
-        modes = counted.join(F.broadcast(top), ["column", "n"]).groupBy("column").agg(F.min("value").alias("mode"))
+        first = F.min(F.struct((-F.col("n")).alias("rank"), "value"))
+        modes = counted.groupBy("column").agg(first["value"].alias("mode"))
         found = {row["column"]: row["mode"] for row in modes.collect()}
         return ModeImputerModel().with_params(
             inputCols=columns,
