@@ -29,7 +29,7 @@ def churn_rate_by(df: DataFrame, column: str) -> DataFrame:
 
 def _share(data: DataFrame, keys: list[str]) -> DataFrame:
     return data.groupBy(*keys).agg(
-        F.avg("churn").alias("churn_andel"), F.count("*").alias("antal_kunder")
+        F.avg("churn_flag").alias("churn_andel"), F.count("*").alias("antal_kunder")
     )
 
 
@@ -44,7 +44,7 @@ def churn_rate_by_price_band(df: DataFrame) -> DataFrame:
     require_columns(df, "MonthlyCharges")
     charge = number(df, "MonthlyCharges")
     banded = df.select(
-        X.churn_flag().alias("churn"),
+        X.churn_flag().alias("churn_flag"),
         X.price_band_order(charge).alias("_order"),
         X.price_band(charge).alias("prisintervall"),
     ).filter(F.col("_order").isNotNull())
@@ -55,7 +55,7 @@ def churn_rate_by_price_band(df: DataFrame) -> DataFrame:
 def churn_correlations(df: DataFrame) -> DataFrame:
     """Correlation of each numeric column with churn, ascending, pairs complete."""
     data = with_churn_flag(df)
-    wide = data.agg(*[F.corr(F.col(c).cast("double"), "churn").alias(c) for c in NUMERIC])
+    wide = data.agg(*[F.corr(F.col(c).cast("double"), "churn_flag").alias(c) for c in NUMERIC])
     return wide.unpivot([], NUMERIC, "kolumn", "korrelation").orderBy("korrelation", "kolumn")
 
 
@@ -118,7 +118,7 @@ def describe_by_churn(df: DataFrame, columns: list[str]) -> DataFrame:
     data = with_churn_flag(df)
     classes = {"stannar": 0.0, "churnar": 1.0}
     values = {
-        f"{c}|{name}": F.when(F.col("churn") == flag, F.col(c).cast("double"))
+        f"{c}|{name}": F.when(F.col("churn_flag") == flag, F.col(c).cast("double"))
         for c in columns
         for name, flag in classes.items()
     }
@@ -156,7 +156,7 @@ def class_histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     Bins are left-closed, the last one closed on both sides, and empty bins are kept.
     """
     require_columns(df, column)
-    data = with_churn_flag(df).select("churn", F.col(column).cast("double").alias("v"))
+    data = with_churn_flag(df).select(F.col("churn_flag").alias("churn"), F.col(column).cast("double").alias("v"))
     data = data.filter(F.col("v").isNotNull())
     ranges = data.groupBy("churn").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     spans = {}

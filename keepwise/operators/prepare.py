@@ -36,8 +36,11 @@ def enrich(df: DataFrame) -> DataFrame:
 
 
 def with_churn_flag(df: DataFrame) -> DataFrame:
-    """Cleaned and enriched rows with a 0/1 churn column."""
-    return enrich(df).withColumn("churn", X.churn_flag())
+    """Cleaned and enriched rows with a 0/1 column churn_flag.
+
+    Not "churn": Spark compares names without case, so that would overwrite the target.
+    """
+    return enrich(df).withColumn("churn_flag", X.churn_flag())
 
 
 def prepare_features(df: DataFrame) -> DataFrame:

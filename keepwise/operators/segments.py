@@ -180,14 +180,14 @@ def segment_profiles(df: DataFrame, rounded: bool = True) -> DataFrame:
     of several; it comes from (segment, contract) counts, which every task pre-aggregates.
     """
     require_columns(df, "segment", "Contract")
-    data = enrich(df).withColumn("churn", X.churn_flag()) if TARGET in df.columns else enrich(df)
+    data = enrich(df).withColumn("churn_flag", X.churn_flag()) if TARGET in df.columns else enrich(df)
     means = {
         "snitt_tenure": "tenure",
         "snitt_manadskostnad": "MonthlyCharges",
         "snitt_tillaggstjanster": "num_addon_services",
     }
     if TARGET in df.columns:
-        means["churn_andel"] = "churn"
+        means["churn_andel"] = "churn_flag"
     sums = []
     for name, column in means.items():
         value = F.col(column).cast("double")

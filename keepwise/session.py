@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "keepwise", **conf) -> Spark
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )

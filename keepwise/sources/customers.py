@@ -73,7 +73,11 @@ def load_or_ingest(spark: SparkSession, csv_path: str, table: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Write rows as CSV, blanks kept as they are."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+        writer = writer.option(side, False)
+    writer.csv(path)
     return path
 
 
