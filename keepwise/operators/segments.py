@@ -49,17 +49,27 @@ def cluster_vectors(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def best_kmeans(
-    vectors: DataFrame, k: int, seed: int = SEED, starts: int = STARTS, pool: ThreadPool | None = None
-) -> KMeansModel:
-    """The cheapest of several k-means runs, the earliest on ties. Cache ``vectors`` before."""
-    if k < 2:
-        raise ValueError(f"the number of segments must be at least 2, got {k}")
-
-    def run(start: int) -> KMeansModel:
+    vectors: DataFrame, ks: list[int], seed: int = SEED, starts: int = STARTS, parallelism: int = 8
+) -> dict[int, KMeansModel]:
+    """Per k the cheapest of several runs, the earliest on ties. Cache ``vectors`` before."""
+    for k in ks:
+        if k < 2:
+            raise ValueError(f"the number of segments must be at least 2, got {k}")
+
+    def run(task: tuple[int, int]) -> KMeansModel:
+        k, start = task
         return KMeans(k=k, seed=seed + start, maxIter=300, featuresCol=FEATURES_COL).fit(vectors)
 
-    models = in_parallel(pool, run, range(starts)) if pool else [run(i) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    tasks = [(k, start) for k in ks for start in range(starts)]
+    with ThreadPool(parallelism) as pool:
+        models = in_parallel(pool, run, tasks)
+    return {
+        k: min(
+            (m for (size, _), m in zip(tasks, models, strict=True) if size == k),
+            key=lambda m: m.summary.trainingCost,
+        )
+        for k in ks
+    }
 
 
 def kmeans_scores(
@@ -74,8 +84,7 @@ def kmeans_scores(
     try:
         if len(cached.limit(3).collect()) < 3:
             raise ValueError("too few rows to cluster")
-        with ThreadPool(parallelism) as pool:
-            models = {k: best_kmeans(cached, k, seed, starts, pool) for k in ks}
+        models = best_kmeans(cached, list(ks), seed, starts, parallelism)
         inertia = {k: float(m.summary.trainingCost) for k, m in models.items()}
         scores = silhouettes(cached, models, seed)
     finally:
@@ -159,8 +168,7 @@ def fit_segments(
         raise ValueError(f"the number of segments must be at least 2, got {k}")
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        with ThreadPool(parallelism) as pool:
-            model = best_kmeans(cached, k, seed, starts, pool)
+        model = best_kmeans(cached, [k], seed, starts, parallelism)[k]
         axes, explained = projection(cached)
     finally:
         cached.unpersist()
