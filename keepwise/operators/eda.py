@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
@@ -80,14 +80,11 @@ def correlation_matrix(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame
 
 
 def target_share(df: DataFrame) -> DataFrame:
-    """Customers and share of all rows per target level, largest first.
-
-    The total runs over the grouped levels, of which a validated table has two.
-    """
+    """Customers and share of all rows per target level, largest first."""
+    total = df.agg(F.count("*")).scalar()
     counts = df.groupBy(TARGET).agg(F.count("*").alias("antal"))
-    total = F.sum("antal").over(Window.partitionBy())
-    shares = counts.withColumn("andel", F.col("antal") / total)
-    return shares.filter(F.col(TARGET).isNotNull()).orderBy(F.desc("antal"), TARGET)
+    shares = counts.filter(F.col(TARGET).isNotNull()).withColumn("andel", F.col("antal") / total)
+    return shares.orderBy(F.desc("antal"), TARGET)
 
 
 def _describe_row(name: str, value, quartiles: list) -> list:

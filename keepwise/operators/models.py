@@ -32,6 +32,7 @@ from keepwise.operators.quality import check_columns
 from keepwise.operators.split import FOLDS, SEED, with_folds
 from keepwise.operators.stages import BalancedWeights, ModeImputer, NumericScaler
 from keepwise.schema import CATEGORICAL, LABEL, NUMERIC, PROBABILITY, SchemaError
+from keepwise.session import fits_at_once
 
 FEATURES_COL = "features"
 WEIGHT = "weight"
@@ -145,14 +146,13 @@ def tune(
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 8,
-    folds_at_once: int = FOLDS,
 ) -> dict[str, tuple[dict, float]]:
     """Best parameters and mean fold AUC per family, by stratified cross-validation.
 
     Preprocessing and class weights are learned inside each fold, once for the whole grid.
     The vectors of the folds under way stay cached while their models are fitted by parallel
-    jobs; ``folds_at_once`` bounds how many copies of the data that is. On equal means the
-    earlier grid point wins.
+    jobs; the row count decides how many folds and fits share the cluster, down to one. On
+    equal means the earlier grid point wins.
     """
     folded = with_folds(train, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     settings = [(family, setting) for family in families for setting in family.settings()]
@@ -171,7 +171,9 @@ def tune(
 
     scores = [0.0] * len(settings)
     try:
-        with ThreadPool(parallelism) as pool:
+        rows = folded.count()
+        folds_at_once = fits_at_once(rows, folds)
+        with ThreadPool(fits_at_once(rows, parallelism)) as pool:
             for first in range(0, folds, folds_at_once):
                 batch = range(first, min(folds, first + folds_at_once))
                 prepared = in_parallel(pool, prepare, batch)
@@ -207,7 +209,7 @@ def fit_pipelines(
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vectors.count()
-        with ThreadPool(parallelism) as pool:
+        with ThreadPool(fits_at_once(n, parallelism)) as pool:
             fitted = in_parallel(pool, lambda c: c[0].build(c[1], n).fit(vectors), chosen)
     finally:
         vectors.unpersist()

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
 from keepwise.operators.models import FEATURES_COL, in_parallel, preprocessing
-from keepwise.operators.prepare import enrich, prepare_features
+from keepwise.operators.prepare import enrich
 from keepwise.operators.quality import require_columns
 from keepwise.operators.split import SEED, id_hash
 from keepwise.operators.stages import NumericScaler
-from keepwise.schema import ID, TARGET
+from keepwise.schema import FEATURES, ID, TARGET
+from keepwise.session import fits_at_once
 
 # Default number of segments, range tried, size of the silhouette sample.
 DEFAULT_K = 4
@@ -31,11 +32,12 @@ STARTS = 10
 
 
 def cluster_vectors(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(customerID, features): all prepared features, or only the given numeric ones, scaled.
+    """The input rows with features: all prepared ones, or only the given numeric ones, scaled.
 
     With ``columns`` nothing is imputed and a missing value fails the query.
     """
-    features = prepare_features(df)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    features = enrich(df.select("*", row)).select("_row", *FEATURES)
     if columns is None:
         stages = preprocessing()
     else:
@@ -45,7 +47,8 @@ def cluster_vectors(df: DataFrame, columns: list[str] | None = None) -> DataFram
             NumericScaler(inputCols=columns, outputCols=scaled, impute=False),
             VectorAssembler(inputCols=scaled, outputCol=FEATURES_COL, handleInvalid="error"),
         ]
-    return Pipeline(stages=stages).fit(features).transform(features).select(ID, FEATURES_COL)
+    fitted = Pipeline(stages=stages).fit(features.drop("_row"))
+    return fitted.transform(features).select("_row.*", FEATURES_COL)
 
 
 def best_kmeans(
@@ -58,10 +61,12 @@ def best_kmeans(
 
     def run(task: tuple[int, int]) -> KMeansModel:
         k, start = task
-        return KMeans(k=k, seed=seed + start, maxIter=300, featuresCol=FEATURES_COL).fit(vectors)
+        return KMeans(
+            k=k, seed=seed + start, maxIter=300, solver="block", featuresCol=FEATURES_COL
+        ).fit(vectors)
 
     tasks = [(k, start) for k in ks for start in range(starts)]
-    with ThreadPool(parallelism) as pool:
+    with ThreadPool(fits_at_once(vectors.count(), parallelism)) as pool:
         models = in_parallel(pool, run, tasks)
     return {
         k: min(
@@ -80,7 +85,7 @@ def kmeans_scores(
     parallelism: int = 8,
 ) -> DataFrame:
     """(k, inertia, silhouette) per number of segments."""
-    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = vectors.select(ID, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if len(cached.limit(3).collect()) < 3:
             raise ValueError("too few rows to cluster")
@@ -163,22 +168,20 @@ def project(vectors: DataFrame, model: PipelineModel) -> DataFrame:
 def fit_segments(
     vectors: DataFrame, k: int = DEFAULT_K, seed: int = SEED, starts: int = STARTS, parallelism: int = 8
 ) -> tuple[DataFrame, list[float]]:
-    """(customerID, segment, pc1, pc2) and the explained variance shares."""
+    """The rows with segment, pc1 and pc2 added, and the explained variance shares.
+
+    Labels are computed on the rows themselves, so nothing has to be joined back to them.
+    """
     if k < 2:
         raise ValueError(f"the number of segments must be at least 2, got {k}")
-    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = vectors.select(ID, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = best_kmeans(cached, [k], seed, starts, parallelism)[k]
         axes, explained = projection(cached)
     finally:
         cached.unpersist()
     labelled = model.setPredictionCol("segment").transform(vectors)
-    return project(labelled, axes).select(ID, "segment", "pc1", "pc2"), explained
-
-
-def attach_segments(df: DataFrame, segments: DataFrame) -> DataFrame:
-    """Customers with their segment, matched on the id."""
-    return df.join(segments.select(ID, "segment"), ID)
+    return project(labelled, axes).drop(FEATURES_COL), explained
 
 
 def segment_profiles(df: DataFrame, rounded: bool = True) -> DataFrame:

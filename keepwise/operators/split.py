@@ -11,6 +11,9 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ VALIDATION_SHARE = 0.25
 FOLDS = 5
 
 PREFIX_DIGITS = 3
+HASH_DIGITS = 32
+BUCKET_ROWS = 1_000_000
 
 
 def id_hash(seed: int = SEED) -> Column:
@@ -73,73 +78,101 @@ def assign(
     stratum: str | None = LABEL,
     seed: int = SEED,
     digits: int = PREFIX_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add column ``name`` with the part each row falls into.
 
-    ``sizes_of`` maps class sizes to an ordered list of (part, rows) per class. Two small
-    jobs find the cuts: counts per class and hash prefix (at most classes x 16^digits rows
-    come to the driver), then running counts over the ids in the few prefixes that hold a cut.
+    ``sizes_of`` maps class sizes to an ordered list of (part, rows) per class. Counts per
+    class and hash prefix (at most classes x 16^digits rows come to the driver) show which
+    prefixes hold a cut; these alone are counted by ever longer prefixes until few rows are
+    left, and those are ordered.
     """
     cls = F.col(stratum) if stratum else F.lit(0)
     keyed = df.select(cls.alias("cls"), id_hash(seed).alias("h")).filter(F.col("cls").isNotNull())
-    prefix = F.substring("h", 1, digits)
-    counted = keyed.groupBy("cls", prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()
-    histogram = defaultdict(dict)
-    for row in counted:
-        histogram[row["cls"]][row["prefix"]] = row["n"]
+    histogram = _histogram(keyed, digits)
     if not histogram:
         raise ValueError("no rows to split")
     parts = sizes_of({c: sum(h.values()) for c, h in histogram.items()})
 
-    wanted, cuts = [], {}
+    cuts = []
     for c, counts in histogram.items():
         end = 0
         for part, size in parts[c][:-1]:
             end += size
-            before = 0
-            for p in sorted(counts):
-                if before + counts[p] > end:
-                    wanted.append((c, part, p, end - before))
-                    break
-                before += counts[p]
-    if wanted:
-        cuts = _locate(keyed, prefix, wanted)
+            if end < sum(counts.values()):
+                cuts.append(_Cut(c, part, "", end, 0).descend(counts))
+    length = digits
+    while any(cut.rows > bucket_rows and len(cut.prefix) == length < HASH_DIGITS for cut in cuts):
+        large = [cut for cut in cuts if cut.rows > bucket_rows and len(cut.prefix) == length]
+        length = min(HASH_DIGITS, length + digits)
+        finer = _histogram(keyed.filter(_near(large)), length)
+        cuts = [cut.descend(finer[cut.cls]) if cut in large else cut for cut in cuts]
+    starts = _starts(keyed, cuts)
 
     out = F.lit(None)
     for c, sizes in parts.items():
         inside = F.lit(sizes[-1][0])
         for part, _ in reversed(sizes[:-1]):
-            if (c, part) in cuts:
-                inside = F.when(id_hash(seed) < cuts[(c, part)], F.lit(part)).otherwise(inside)
-            else:
-                inside = F.lit(part)
+            inside = (
+                F.when(id_hash(seed) < starts[(c, part)], F.lit(part)).otherwise(inside)
+                if (c, part) in starts
+                else F.lit(part)
+            )
         out = F.when(cls == c, inside).otherwise(out)
     return df.withColumn(name, out)
 
 
-def _locate(keyed: DataFrame, prefix: Column, wanted: list[tuple]) -> dict:
-    """First hash of the part after each cut: the one whose id starts at or past the cut."""
-    spark = keyed.sparkSession
-    marks = spark.createDataFrame(
-        [(float(c), str(part), p, int(offset)) for c, part, p, offset in wanted],
-        "c double, part string, prefix string, cut long",
-    )
-    groups = {(c, p) for c, _, p, _ in wanted}
-    near = F.lit(False)
-    for c in {c for c, _ in groups}:
-        near = near | ((F.col("cls") == c) & prefix.isin([p for g, p in groups if g == c]))
-    ids = keyed.filter(near).groupBy("cls", prefix.alias("prefix"), "h").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("cls", "prefix").orderBy("h")
+@dataclass(frozen=True)
+class _Cut:
+    """A part ends ``offset`` rows into the hashes of ``cls`` that begin with ``prefix``."""
+
+    cls: float
+    part: object
+    prefix: str
+    offset: int
+    rows: int
+
+    def descend(self, counts: dict[str, int]) -> _Cut:
+        before = 0
+        for prefix in sorted(p for p in counts if p.startswith(self.prefix)):
+            if before + counts[prefix] > self.offset:
+                return replace(self, prefix=prefix, offset=self.offset - before, rows=counts[prefix])
+            before += counts[prefix]
+        raise ArithmeticError("the rows changed while they were counted")
+
+
+def _histogram(keyed: DataFrame, digits: int) -> dict:
+    prefix = F.substring("h", 1, digits).alias("prefix")
+    found = defaultdict(dict)
+    for row in keyed.groupBy("cls", prefix).agg(F.count("*").alias("n")).collect():
+        found[row["cls"]][row["prefix"]] = row["n"]
+    return found
+
+
+def _near(cuts: list[_Cut]) -> Column:
+    tests = [(F.col("cls") == cut.cls) & F.col("h").startswith(cut.prefix) for cut in cuts]
+    return reduce(or_, tests, F.lit(False))
+
+
+def _starts(keyed: DataFrame, cuts: list[_Cut]) -> dict:
+    """Hash at which the part after each cut begins: the first id that starts past the cut."""
+    if not cuts:
+        return {}
+    ids = keyed.filter(_near(cuts)).groupBy("cls", "h").agg(F.count("*").alias("n"))
+    bucket = F.concat_ws("|", "cls", *[F.when(_near([c]), F.lit(c.prefix)) for c in _distinct(cuts)])
+    before = Window.partitionBy(bucket).orderBy("h")
     placed = ids.withColumn("start", F.sum("n").over(before) - F.col("n"))
-    hit = (F.col("cls") == F.col("c")) & (placed["prefix"] == marks["prefix"]) & (F.col("start") >= F.col("cut"))
-    # `marks` has one row per cut.
-    found = placed.join(F.broadcast(marks), hit).groupBy("c", "part").agg(F.min("h").alias("h")).collect()
-    names = {(float(c), str(part)): (c, part) for c, part, _, _ in wanted}
-    located = {names[(row["c"], row["part"])]: row["h"] for row in found}
-    for c, part, p, _ in wanted:
-        # Every id of the prefix starts before the cut: the next prefix opens the next part.
-        located.setdefault((c, part), p + "g")
-    return located
+    firsts = [
+        F.min(F.when(_near([cut]) & (F.col("start") >= cut.offset), F.col("h"))).alias(f"c{i}")
+        for i, cut in enumerate(cuts)
+    ]
+    row = placed.agg(*firsts).first()
+    # No such id in the bucket: the part begins with the next bucket, and 'g' follows every digit.
+    return {(c.cls, c.part): row[f"c{i}"] or c.prefix + "g" for i, c in enumerate(cuts)}
+
+
+def _distinct(cuts: list[_Cut]) -> list[_Cut]:
+    return list({(c.cls, c.prefix): c for c in cuts}.values())
 
 
 def split_data(df: DataFrame, seed: int = SEED) -> DataFrame:

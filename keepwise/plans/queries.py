@@ -268,12 +268,11 @@ def _segments(spark, sf_dir):
 
 
 def pca_projection(spark, sf_dir):
-    return _segments(spark, sf_dir)
+    return _segments(spark, sf_dir).select(ID, "segment", "pc1", "pc2")
 
 
 def segment_profiles(spark, sf_dir):
-    joined = segments.attach_segments(customers(spark, sf_dir), _segments(spark, sf_dir))
-    return segments.segment_profiles(joined)
+    return segments.segment_profiles(_segments(spark, sf_dir))
 
 
 def _fixed_segments(spark, sf_dir):

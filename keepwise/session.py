@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 50_000
+# Rows that parallel fits may hold in memory together, each fit keeping a copy of its own.
+ROWS_IN_FLIGHT = 50_000_000
 
 
 def local_session(cpus: int | str = "*", app: str = "keepwise", **conf) -> SparkSession:
@@ -69,3 +71,8 @@ def join_small(
     if head.num_rows <= max_rows:
         right = F.broadcast(left.sparkSession.createDataFrame(head, schema=right.schema))
     return left.join(right, on, how)
+
+
+def fits_at_once(rows: int, most: int) -> int:
+    """How many fits over ``rows`` rows to run side by side: many when small, one when large."""
+    return max(1, min(most, ROWS_IN_FLIGHT // max(rows, 1)))

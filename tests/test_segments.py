@@ -70,11 +70,12 @@ def test_segments_and_projection(raw, vectors):
     for i, name in enumerate(("pc1", "pc2")):
         axis = axes[i] * np.sign(axes[i][np.abs(axes[i]).argmax()])
         assert [r[name] for r in rows] == pytest.approx(list(x @ axis))
-    profiles = sg.segment_profiles(sg.attach_segments(raw, found))
+    assert found.columns == [*raw.columns, "segment", "pc1", "pc2"]
+    profiles = sg.segment_profiles(found)
     assert sum(r["antal_kunder"] for r in profiles.collect()) == 60
     best = sg.extreme_segments(profiles).first()
     assert best["riskiest_churn"] >= best["safest_churn"]
-    assert "churn_andel" not in sg.segment_profiles(sg.attach_segments(raw, found).drop(TARGET)).columns
+    assert "churn_andel" not in sg.segment_profiles(found.drop(TARGET)).columns
 
 
 def test_profile_values(make):

@@ -28,11 +28,11 @@ def test_sixty_rows(raw):
     }
 
 
-@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize(("digits", "bucket_rows"), [(1, 1_000_000), (3, 1_000_000), (1, 1), (2, 5)])
 @pytest.mark.parametrize("labels", [[i % 3 == 0 for i in range(997)], [i < 5 for i in range(23)], [0] * 7 + [1]])
-def test_split_equals_sorting_by_hash(spark, labels, digits):
+def test_split_equals_sorting_by_hash(spark, labels, digits, bucket_rows):
     labels = [int(y) for y in labels]
-    df = split.assign(table(spark, labels), "part", split.part_sizes, digits=digits)
+    df = split.assign(table(spark, labels), "part", split.part_sizes, digits=digits, bucket_rows=bucket_rows)
     got = {r["customerID"]: r["part"] for r in df.collect()}
     sizes = split.part_sizes(Counter(labels))
     for c in set(labels):
@@ -57,7 +57,7 @@ def test_folds_are_even_and_stratified(spark):
 def test_copies_of_a_hot_id_stay_together(spark):
     labels = [0] * 300
     hot = spark.range(150).select(F.lit("c7").alias("customerID"), F.lit(0.0).alias("label"))
-    rows = split.split_data(table(spark, labels).union(hot)).collect()
+    rows = split.assign(table(spark, labels).union(hot), "part", split.part_sizes, bucket_rows=20).collect()
     assert len(rows) == 450
     parts = {}
     for r in rows:
