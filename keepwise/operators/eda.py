@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +60,26 @@ def churn_correlations(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """(a, b, r) for all ordered pairs of numeric columns, each pair on its complete rows."""
-    data = with_churn_flag(df)
-    pairs = list(combinations(columns, 2))
-
-    def double(c):
-        return F.col(c).cast("double")
+    """(a, b, r) for all ordered pairs of numeric columns, each pair on its complete rows.
 
-    wide = data.agg(
-        *[F.corr(double(a), double(b)).alias(f"{a}|{b}") for a, b in pairs],
-        *[F.corr(double(c), double(c)).alias(f"{c}|{c}") for c in columns],
-    )
-    cells = []
-    for a in columns:
-        for b in columns:
-            source = f"{a}|{b}" if f"{a}|{b}" in wide.columns else f"{b}|{a}"
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(source).alias("r")))
-    return wide.select(F.inline(F.array(*cells)))
+    One scan lists the unordered pairs of each row and correlates per pair, pre-aggregated
+    where the row is read; as many correlations side by side would not be JIT-compiled.
+    """
+    pairs = list(combinations_with_replacement(columns, 2))
+    data = with_churn_flag(df)
+    rows = [
+        F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    found = data.select(F.inline(F.array(*rows))).groupBy("i").agg(F.corr("x", "y").alias("r"))
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+        for i, pair in enumerate(pairs)
+        for a, b in sorted({pair, pair[::-1]}, key=lambda p: p != pair)
+    ]
+    names = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    # Both sides hold at most one row per pair of columns.
+    return names.join(F.broadcast(found), "i", "left").select("a", "b", "r")
 
 
 def target_share(df: DataFrame) -> DataFrame:

@@ -28,10 +28,11 @@ def revenue_forecast(
 ) -> DataFrame:
     """Expected customers and revenue 0..months ahead, optionally per group.
 
-    Every active customer stays for m months with probability (1-p)^m. One scan aggregates
-    2(months+1) sums with map-side combining; the months become rows only afterwards, so the
-    input is never multiplied. Missing or impossible inputs, and having no active customers,
-    fail the query.
+    Every active customer stays for m months with probability (1-p)^m. One scan lists the
+    months of each customer and sums them where they are read, so months+1 rows per task and
+    group are shuffled. That generates small code; 2(months+1) sums side by side are twice as
+    slow, being too large for the JIT compiler. Missing or impossible inputs, and having no
+    active customers, fail the query.
     """
     keys = list(by or [])
     require_columns(df, PROBABILITY, "MonthlyCharges", TARGET, *keys)
@@ -42,33 +43,35 @@ def revenue_forecast(
     active = active_customers(df)
     for key in keys:
         active = active.filter(F.col(key).isNotNull())
-    charge, p = number(df, "MonthlyCharges").cast("double"), F.col(PROBABILITY)
-    stays = [F.pow(1 - p, F.lit(m)) for m in range(months + 1)]
-    wide = active.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        _bad_inputs(charge, p).alias("_bad"),
-        *[F.sum(s).alias(f"_c{m}") for m, s in enumerate(stays)],
-        *[F.sum(charge * s).alias(f"_r{m}") for m, s in enumerate(stays)],
+    ahead = F.explode(F.array(*[F.lit(m) for m in range(months + 1)])).alias("_m")
+    charge = number(df, "MonthlyCharges").cast("double").alias("_charge")
+    listed = active.select(*keys, charge, F.col(PROBABILITY).cast("double").alias("_p"), ahead)
+    stays = F.pow(1 - F.col("_p"), F.col("_m"))
+    sums = listed.groupBy(*keys, "_m").agg(
+        F.sum(stays).alias("customers"),
+        F.sum(F.col("_charge") * stays).alias("mrr"),
+        _bad_inputs(F.col("_charge"), F.col("_p")).alias("bad"),
     )
-    today = guarded(F.col("_r0"), F.col("_bad") > 0, f"{PROBABILITY} must lie in [0, 1], charges be known")
-    today = guarded(today, F.col("_n") == 0, "no active customers to forecast")
-
-    rows = []
-    for m in range(months + 1):
-        mrr = F.col(f"_r{m}") if m else today
-        before = F.col(f"_r{m - 1}") if m else F.col("_r0")
-        rows.append(
-            F.struct(
-                F.lit(m).alias("months_ahead"),
-                F.add_months(F.lit(first), m).alias("month"),
-                F.col(f"_c{m}").alias("expected_customers"),
-                mrr.alias("expected_mrr"),
-                (before - F.col(f"_r{m}")).alias("expected_loss"),
-                (F.col("_r0") - F.col(f"_r{m}")).alias("cumulative_loss"),
-            )
+    # months+1 entries per group, in order.
+    line = F.array_sort(F.collect_list(F.struct("_m", "customers", "mrr", "bad")))
+    lines = sums.groupBy(*keys).agg(line.alias("_line"))
+    none = F.raise_error(F.lit("no active customers to forecast"))
+    wrong = F.raise_error(F.lit(f"{PROBABILITY} must lie in [0, 1] and charges be known"))
+    checked = F.when(F.size("_line") == 0, none).when(F.col("_line")[0]["bad"] > 0, wrong)
+    lines = lines.withColumn("_line", checked.otherwise(F.col("_line")))
+
+    def month_row(entry: Column, m: Column) -> Column:
+        before = F.coalesce(F.get("_line", m - 1)["mrr"], entry["mrr"])
+        return F.struct(
+            m.alias("months_ahead"),
+            F.add_months(F.lit(first), m).alias("month"),
+            entry["customers"].alias("expected_customers"),
+            entry["mrr"].alias("expected_mrr"),
+            (before - entry["mrr"]).alias("expected_loss"),
+            (F.col("_line")[0]["mrr"] - entry["mrr"]).alias("cumulative_loss"),
         )
-    long = wide.select(*keys, F.inline(F.array(*rows)))
-    return long.select(
+
+    return lines.select(*keys, F.inline(F.transform("_line", month_row))).select(
         *keys,
         "months_ahead",
         "month",

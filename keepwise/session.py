@@ -23,6 +23,8 @@ def local_session(cpus: int | str = "*", app: str = "keepwise", **conf) -> Spark
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Wide generated code is faster split up than too large for the JIT compiler.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
