@@ -276,7 +276,7 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
     try:
-        spark.read.text(f"{path}/metadata").schema  # noqa: B018
+        spark.read.text(f"{path}/metadata")
     except AnalysisException as error:
         raise FileNotFoundError(f"no trained model at {path}; run the training plan first") from error
     return PipelineModel.load(path)

@@ -36,14 +36,24 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Cast by name to the stored types; other columns pass through."""
-    casts = {}
-    for name in df.columns:
-        dtype = CUSTOMER_TYPES.get(name)
-        if dtype is None or df.schema[name].dataType == dtype:
-            continue
-        value = F.col(name) if isinstance(dtype, T.StringType) else number(df, name)
-        casts[name] = value.cast(dtype)
+    """Cast by name to the stored types; other columns pass through.
+
+    A whole-number column that holds fractions is stored as double instead of being cut off.
+    """
+    pending = {
+        name: dtype
+        for name, dtype in CUSTOMER_TYPES.items()
+        if name in df.columns and df.schema[name].dataType != dtype
+    }
+    whole = [name for name, dtype in pending.items() if isinstance(dtype, T.IntegerType)]
+    if whole:
+        values = {name: number(df, name) for name in whole}
+        fractions = df.agg(*[F.count_if(v != F.floor(v)).alias(name) for name, v in values.items()]).first()
+        pending.update({name: T.DoubleType() for name in whole if fractions[name]})
+    casts = {
+        name: (F.col(name) if isinstance(dtype, T.StringType) else number(df, name)).cast(dtype)
+        for name, dtype in pending.items()
+    }
     return df.withColumns(casts) if casts else df
 
 

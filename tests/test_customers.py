@@ -56,6 +56,16 @@ def test_csv_files_with_other_headers_fail_instead_of_swapping(spark, tmp_path):
         source.read_csv(spark, str(folder)).collect()
 
 
+def test_fractions_in_whole_number_columns_are_kept(spark, tmp_path):
+    rows = customer_rows(4)
+    rows[1]["tenure"] = 12.5
+    table = str(tmp_path / "t")
+    source.ingest(spark, write_csv(tmp_path / "c.csv", rows), table)
+    loaded = source.load(spark, table)
+    assert sorted(r["tenure"] for r in loaded.collect()) == sorted(float(r["tenure"]) for r in rows)
+    assert loaded.schema["SeniorCitizen"].dataType.simpleString() == "int"
+
+
 def test_missing_files_raise(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         source.read_csv(spark, str(tmp_path / "none.csv"))
