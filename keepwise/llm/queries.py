@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from keepwise.llm import mixing
+from keepwise.llm import mixing, quality, warc
 from keepwise.llm.common import table
 
 
+def op3_warc_revisits(spark, sf_dir):
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_ftrl(spark, sf_dir):
+    return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_cube_mix(spark, sf_dir):
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_cube_mix": op10_cube_mix}
+QUERIES = {"op3_warc_revisits": op3_warc_revisits, "op7_quality_ftrl": op7_quality_ftrl, "op10_cube_mix": op10_cube_mix}
 ORACLE: dict[str, str] = {}
