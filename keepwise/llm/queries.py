@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from keepwise.llm import mixing, quality, warc
+from keepwise.llm import chat, license_scan, mixing, quality, warc
 from keepwise.llm.common import table
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark, sf_dir):
     return warc.op3(table(spark, sf_dir, "pages"))
 
 
+def op5_chat_format(spark, sf_dir):
+    return chat.op5(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_ftrl(spark, sf_dir):
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,5 +26,11 @@ def op10_cube_mix(spark, sf_dir):
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_warc_revisits": op3_warc_revisits, "op7_quality_ftrl": op7_quality_ftrl, "op10_cube_mix": op10_cube_mix}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op5_chat_format": op5_chat_format,
+    "op7_quality_ftrl": op7_quality_ftrl,
+    "op10_cube_mix": op10_cube_mix,
+}
+ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE}
