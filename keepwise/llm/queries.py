@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from keepwise.llm import chat, license_scan, mixing, quality, warc
+from keepwise.llm import chat, license_scan, mixing, near_dup, quality, warc
 from keepwise.llm.common import table
 
 
+def op1_tensored_minhash(spark, sf_dir):
+    return near_dup.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_cube_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_tensored_minhash": op1_tensored_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_warc_revisits": op3_warc_revisits,
     "op5_chat_format": op5_chat_format,
