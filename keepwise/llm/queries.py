@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepwise.llm import chat, license_scan, mixing, near_dup, quality, warc
+from keepwise.llm import bpe, chat, license_scan, mixing, near_dup, quality, warc
 from keepwise.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_quality_ftrl(spark, sf_dir):
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_word_table_bpe(spark, sf_dir):
+    return bpe.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_cube_mix(spark, sf_dir):
     return mixing.op10(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op5_chat_format": op5_chat_format,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
 }
 ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE}
