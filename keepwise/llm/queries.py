@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepwise.llm import bpe, chat, license_scan, mixing, near_dup, quality, warc
+from keepwise.llm import bpe, chat, license_scan, mixing, near_dup, quality, substring_dedup, warc
 from keepwise.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_chat_format(spark, sf_dir):
     return chat.op5(table(spark, sf_dir, "conversations"))
 
 
+def op6_block_anchors(spark, sf_dir):
+    return substring_dedup.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_ftrl(spark, sf_dir):
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_warc_revisits": op3_warc_revisits,
     "op5_chat_format": op5_chat_format,
+    "op6_block_anchors": op6_block_anchors,
     "op7_quality_ftrl": op7_quality_ftrl,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
