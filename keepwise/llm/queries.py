@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepwise.llm import bpe, chat, license_scan, mixing, near_dup, quality, substring_dedup, warc
+from keepwise.llm import bpe, chat, exact_topk, hilbert_ann, license_scan, mixing, near_dup, quality, substring_dedup, warc
 from keepwise.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_warc_revisits(spark, sf_dir):
     return warc.op3(table(spark, sf_dir, "pages"))
 
 
+def op4_block_topk(spark, sf_dir):
+    return exact_topk.op4(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark, sf_dir):
     return chat.op5(table(spark, sf_dir, "conversations"))
 
@@ -30,6 +34,10 @@ def op7_quality_ftrl(spark, sf_dir):
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_hilbert_ann(spark, sf_dir):
+    return hilbert_ann.op8(table(spark, sf_dir, "embeddings"))
+
+
 def op9_word_table_bpe(spark, sf_dir):
     return bpe.op9(table(spark, sf_dir, "documents"))
 
@@ -42,10 +50,12 @@ QUERIES = {
     "op1_tensored_minhash": op1_tensored_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_block_topk": op4_block_topk,
     "op5_chat_format": op5_chat_format,
     "op6_block_anchors": op6_block_anchors,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op8_hilbert_ann": op8_hilbert_ann,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
 }
-ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE}
+ORACLE: dict[str, str] = {"op4_block_topk": exact_topk.ORACLE, "op5_chat_format": chat.ORACLE}
