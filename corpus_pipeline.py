@@ -1,20 +1,57 @@
-"""Corpus pipeline: quality, near-duplicates, repeated passages, mixture, tokens."""
+"""Corpus pipeline: quality, near-duplicates, repeated passages, mixture, tokens.
+
+Each stage takes all its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from keepwise.llm import mixing
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepwise.llm import bpe, mixing, near_dup, quality, substring_dedup
+from keepwise.llm.common import stored, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five words, similarity 0.8)."""
+    return near_dup.drop_near_duplicates(docs)
 
-def mix_sources(spark, docs, sf_dir):
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier in the corpus are cut out; n_chars follows the text."""
+    done = substring_dedup.deduplicate(docs)
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length.cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text they decode to."""
+    return bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", passage_dedup),
+    ("source_mixing", mix_sources),
+    ("bpe_encode_decode", tokenize),
+]
+# A fitted model, hashing and seeded draws: not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

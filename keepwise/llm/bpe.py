@@ -153,7 +153,7 @@ def _read_answer(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def _join_back(partitions: int, added: list[str], columns: list[str]):
+def _join_back(partitions: int, added: list[str]):
     """Ids of every document of one chunk, from the answers to its distinct words."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -179,25 +179,26 @@ def _join_back(partitions: int, added: list[str], columns: list[str]):
         take = np.arange(total) + np.repeat(starts[at] - (ends - n), n)
         word_ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
         lists = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), pa.array(flat[take], pa.int32()))
-        return pa.table([*[docs[c] for c in columns], lists], names=[*columns, "ids"])
+        return pa.table([docs["rest"], lists], names=["rest", "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """The documents with one more column, ``ids``; the text itself is left out."""
+    """The documents without their text but with ``ids``; a column of that name is replaced."""
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c != text]
-    if {"ids", "chunk", "row", "text__"} & set(columns):
-        raise ValueError("columns named ids, chunk, row or text__ clash with the result")
     partitions, added = int(spark.conf.get("spark.sql.shuffle.partitions")), list(added_tokens(path))
-    stored = chunked(docs.select(*columns, F.col(text).alias("text__")))
-    asked = stored.select("chunk", "text__").groupBy("chunk")  # the buckets: nothing is shuffled
+    # Other columns travel as one, so that none of their names can clash.
+    others = [c for c in docs.columns if c not in (text, "ids")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__none"))
+    table = chunked(docs.select(F.col(f"`{text}`").alias("text__"), rest.alias("rest")))
+    asked = table.select("chunk", "text__").groupBy("chunk")  # the buckets: nothing is shuffled
     requests = asked.applyInArrow(_ask(partitions, added), "part int, chunk long, words binary")
     dealt = requests.repartition(partitions, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(_answer(path), "part int, chunk long, ids binary")
-    schema = T.StructType([*[stored.schema[c] for c in columns], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join_back(partitions, added, columns), schema)
+    schema = T.StructType([table.schema["rest"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    done = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join_back(partitions, added), schema)
+    return done.select(*[F.col(f"rest.`{c}`") for c in others], "ids")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -215,8 +216,9 @@ def pieces(path: str) -> list[bytes]:
 
 
 def decode(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str = VOCABULARY) -> DataFrame:
-    """The rows with the text of their ids; bytes that are not UTF-8 become replacement characters."""
+    """The rows with the text of their ids (replacing a column of that name); bytes that are not UTF-8 become replacement characters."""
     table = df.sparkSession.sparkContext.broadcast(pieces(path))  # the vocabulary: a bounded table
+    df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
     at = df.columns.index(ids)
 

@@ -23,8 +23,9 @@ members is dealt to several tasks, each with a copy of the centre. A pair at the
 with probability ``MISS`` at most, more similar ones far more rarely; nothing else is left out.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; with fewer
-words than a shingle the whole sequence is one; rows sharing an id are one document whose links are
-those of all its rows; rows without an id are kept, link with nothing and have no component.
+words than a shingle the whole sequence is one; rows sharing an id are documents of their own, and a
+component is named by the smallest id of its rows; rows without an id are kept, link with nothing and
+have no component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -322,11 +323,16 @@ def open_pairs(rest: DataFrame, classes: DataFrame, weights: DataFrame, m: int,
     return dealt.sortWithinPartitions("table", "x", "y").mapInArrow(_plausible(least_alike(m, percent), percent), "x long, part long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid: str | None = None) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id, kept and first for every row of ``docs`` (doc_id, text).
+
+    ``kept`` marks rows with the smallest doc_id of their component, ``first`` one row of each component.
+    ``uid`` names a unique long column of ``docs``; without it rows are numbered here.
+    """
     percent, m = round(100 * similarity), tables_per_side(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    number = F.monotonically_increasing_id() if uid is None else F.col(uid)
+    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "uid long, doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     signed = stored(rows.mapInArrow(_sign(size, m), schema), "signed")
     known = signed.filter("digest is not null and doc_id is not null")
@@ -350,13 +356,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     # From classes to rows; the smallest doc_id names a component.
     row_class = known.select("uid", "doc_id", "digest").join(firsts, "digest").select("uid", "doc_id", "id")
     placed = row_class.join(found, "id", "left").select("uid", "doc_id", F.coalesce("component", "id").alias("c"))
-    names = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(names, "c").select("uid", "component_id")
+    names = placed.groupBy("c").agg(F.min(F.struct("doc_id", "uid")).alias("head"))
+    named = placed.join(names, "c").select("uid", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head"))
     out = signed.select("uid", "doc_id", "n_shingles").join(named, "uid", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("uid", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    kept, first = component.eqNullSafe(F.col("doc_id")), F.coalesce("head", "uid") == F.col("uid")
+    return out.select("uid", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), first.alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component, the one with the smallest id, with the columns it had."""
+    uid = "__uid"
+    while uid in docs.columns:
+        uid += "_"
+    numbered = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, size, similarity, uid).filter("first").select(F.col("uid").alias(uid))
+    return numbered.join(found, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:
     """Three-word shingles, similarity 0.85."""
-    return near_duplicates(docs, 3, 0.85).drop("uid")
+    return near_duplicates(docs, 3, 0.85).drop("uid", "first")

@@ -220,16 +220,16 @@ def _own(asked: pa.Table) -> pa.Table:
 def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents, their text without repeated passages (words joined by one space).
 
-    Adds ``n_words`` and ``n_removed``. A text that loses nothing is left as it was.
+    ``n_words`` and ``n_removed`` are added, or replaced. A text that loses nothing is left as it was.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = [c for c in docs.columns if c not in ("doc_id", text)]
-    if {"chunk", "row", "n_words", "n_removed"} & set(others) or (text != "text" and "text" in others):
-        raise ValueError("columns named chunk, row, n_words, n_removed or text clash with the work columns")
-    renamed = docs.select("doc_id", F.col(text).cast("binary").alias("text"), *[F.col(f"`{c}`") for c in others])
-    table = chunked(renamed, CHUNK_ROWS)
-    words = table.select("chunk", "row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Other columns travel as one, so that none of their names can clash.
+    others = [c for c in docs.columns if c not in ("doc_id", text, "n_words", "n_removed")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__none"))
+    raw = F.col(f"`{text}`").cast("binary")
+    table = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), rest.alias("rest")), CHUNK_ROWS)
+    words = table.select("chunk", "row", "doc_id", "text")
 
     def ask(rows: pa.Table) -> pa.Table:
         return _table(rows["chunk"][0].as_py(), 0, Chunk(rows, window, partitions).ask_anchors())
@@ -239,9 +239,6 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
         chunk = Chunk(rows, window, partitions)
         return _table(rows["chunk"][0].as_py(), 1, chunk.candidates(got).ask_runs())
 
-    types = {f.name: f for f in table.schema.fields}
-    columns = ["doc_id", "text", *others]
-
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(rows, window, partitions).candidates(_answers(answers, 0))
         gone = chunk.removed(_answers(answers, 1))
@@ -253,19 +250,20 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
             texts.append(raw)
             lost.append(0 if g is None else int(g.sum()))
         kept = rows.take(pa.array(chunk.order))
-        arrays = {c: kept[c] for c in columns} | {"text": pa.array([None if x is None else x.decode() for x in texts], pa.string())}
+        left = pa.array([None if x is None else x.decode() for x in texts], pa.string())
         counts = [pa.array([len(w) for w in chunk.words], pa.int64()), pa.array(lost, pa.int64())]
-        return pa.table([*arrays.values(), *counts], names=[*columns, "n_words", "n_removed"])
+        return pa.table([kept["doc_id"], left, kept["rest"], *counts], names=["doc_id", "text", "rest", "n_words", "n_removed"])
 
     by_chunk = words.groupBy("chunk")
     met = stored(by_chunk.applyInArrow(ask, ASK).groupBy("part").applyInArrow(_meet, ASK), "anchors")
     asked = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(extend, ASK)
     owned = stored(asked.groupBy("part").applyInArrow(_own, ASK), "runs")
-    schema = T.StructType(
-        [types["doc_id"], T.StructField("text", T.StringType()), *[types[c] for c in others], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    )
+    longs = [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
+    schema = T.StructType([table.schema["doc_id"], T.StructField("text", T.StringType()), table.schema["rest"], *longs])
     done = table.groupBy("chunk").cogroup(met.unionByName(owned).groupBy("chunk")).applyInArrow(remove, schema)
-    return done.withColumnRenamed("text", text).select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_removed")
+    own = {"doc_id": F.col("doc_id"), text: F.col("text").alias(text)}
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    return done.select(*[own[c] if c in own else F.col(f"rest.`{c}`") for c in names], "n_words", "n_removed")
 
 
 def op6(docs: DataFrame) -> DataFrame:
