@@ -160,6 +160,8 @@ def _block(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return pa.table([np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], names=["asker", "vec_id", "score"])
+        # A block that spans two curves holds some vectors twice.
+        rows = rows.take(pa.array(np.unique(rows["gid"].to_numpy(), return_index=True)[1]))
         q, m = matrix(queries["q"].combine_chunks()), matrix(rows["v"].combine_chunks())
         found = _nearest(queries["asker"].to_numpy(), q, m, rows["ids"].to_pylist(), k)
         return pa.table(found[:3], names=["asker", "vec_id", "score"])
@@ -229,7 +231,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     touched = F.sequence(F.floor((F.greatest(F.col("rank") - window, F.lit(0))) / size), F.floor((F.col("rank") + window) / size))
     asks = ranked.filter("asks").select(F.col("gid").alias("asker"), F.col("v").alias("q"), F.explode(touched).alias("block"))
     asks = asks.dropDuplicates(["asker", "block"])
-    rows = ranked.select("v", "ids", F.floor(F.col("rank") / size).alias("block"))
+    rows = ranked.select("gid", "v", "ids", F.floor(F.col("rank") / size).alias("block"))
     found = asks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_block(k + 1), NEAR)
     merged = _merged(found, k + 1).select(F.col("asker").alias("gid"), "vec_id", "score")
     named = asking.join(reps.select("gid", "h1", "h2"), ["h1", "h2"]).select(F.col("id").alias("query_id"), "gid")

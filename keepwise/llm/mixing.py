@@ -116,13 +116,14 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(chance=chance)
 
 
-def copies(units: DataFrame, block_rows: int = BLOCK_ROWS, **rule) -> DataFrame:
-    """(unit, source, size) with source_size, target and the copies taken of each row.
+def copies(units: DataFrame, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = (), **rule) -> DataFrame:
+    """(unit, source, size, *keep) with source_size, target and the copies taken of each row.
 
-    ``unit`` is a long that orders the rows of a block; equal units are still separate rows.
+    ``unit`` is a long that deals and orders the rows of the blocks; equal units are separate rows.
     """
     spark = units.sparkSession
-    units = stored(units.select(F.col("unit").cast("long"), F.col("source").cast("string"), F.col("size").cast("long")), "units")
+    given = [F.col("unit").cast("long").alias("unit"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size")]
+    units = stored(units.select(*given, *keep), "units")
     totals = units.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     goal = targets([(r.source, r.s) for r in totals], **rule)
     rows = []
@@ -133,7 +134,7 @@ def copies(units: DataFrame, block_rows: int = BLOCK_ROWS, **rule) -> DataFrame:
     # One row per source, as collected above.
     goals = spark.createDataFrame(rows, plan)
     state = units.alias("u").join(F.broadcast(goals.alias("g")), F.col("u.source").eqNullSafe(F.col("g.source")))
-    state = state.select("u.unit", "u.source", "u.size", "number", "source_size", "target", "whole", "chance", F.col("n").alias("left"))
+    state = state.select("u.unit", "u.source", "u.size", *[f"u.{c}" for c in keep], "number", "source_size", "target", "whole", "chance", F.col("n").alias("left"))
     done, level = None, 0
     while True:
         blocks = F.greatest(F.ceil(F.col("left") / block_rows), F.lit(1)).cast("long")
@@ -143,7 +144,7 @@ def copies(units: DataFrame, block_rows: int = BLOCK_ROWS, **rule) -> DataFrame:
         flown = stored(state.groupBy("number", "block").applyInPandas(_decide, state.schema), "flight")
         if most is None or most == 1:
             return (done.unionByName(flown) if done is not None else flown).select(
-                "unit", "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("int").alias("copies")
+                "unit", "source", "size", *keep, "source_size", "target", (F.col("whole") + F.col("chance")).cast("int").alias("copies")
             )
         open_rows = (F.col("chance") > 0) & (F.col("chance") < 1)
         # Two rows of a block at most stay open, so the next level counts them anew.
@@ -162,8 +163,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", **rule) ->
     while row in names:
         row += "_"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix_rows")
-    units = numbered.select(F.col(row).alias("unit"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    taken = copies(units, **rule).filter("copies > 0").select(F.col("unit").alias(row), F.col("copies").alias(row + "n"))
+    # The mixture depends on ids and texts, not on how the rows were numbered.
+    unit = F.xxhash64("doc_id", text).alias("unit")
+    units = numbered.select(unit, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(row).alias("at"))
+    taken = copies(units, keep=("at",), **rule).filter("copies > 0").select(F.col("at").alias(row), F.col("copies").alias(row + "n"))
     repeated = numbered.join(taken, row).withColumn(row + "k", F.explode(F.sequence(F.lit(1), F.col(row + "n"))))
     return repeated.select(*[F.col(f"`{c}`") for c in names])
 

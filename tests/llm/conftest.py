@@ -1,0 +1,10 @@
+"""Fixtures of the corpus operators."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from conftest_llm import documents, nothing  # noqa: E402, F401
