@@ -12,11 +12,12 @@ pair at the threshold meets in no table with probability ``MISS`` at most.
 3. In each table group every class is paired with the group's smallest class: as many pairs as rows,
    however large the group. The pairs are verified on full sets, links grow into components.
 4. Where a group still holds several components, members of different components may be linked
-   without being linked to the smallest. Members of such groups are compared by sketch, one byte
-   per minhash, in blocks of ``BLOCK_MEMBERS``. A document that cannot be ruled out for a component
-   (within ``SLACK`` standard deviations of the threshold, and by set size) leaves the task as one row,
-   however many members it resembles, and is then compared with all members of that component on
-   full sets, again in blocks. Only links leave those tasks.
+   without being linked to the smallest. Classes without a link get a home, the largest open group they
+   are in; components are homes of their own. Members of open groups are compared by sketch, one
+   byte per minhash, in blocks of ``BLOCK_MEMBERS``. A class that cannot be ruled out for a member of a
+   home (within ``SLACK`` standard deviations of the threshold, and by set size) leaves the task as
+   one row (class, home), however many members it resembles, and is then compared with all
+   members of that home on full sets, again in blocks. Only links leave those tasks.
 
 Verification sends each class's text to the centres it is compared with; a centre with many
 members is dealt to several tasks, each with a copy of the centre. A pair at the threshold is missed
@@ -175,24 +176,34 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
 
 
 def _verify_parts(size: int, percent: int, least: int):
-    """Compare documents with the members of a component; the rows of a block pair come together."""
+    """Compare classes with the members of a home; the rows of a block pair come together."""
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+    def compare(rows: list[tuple], joined: bool) -> list[tuple[int, int]]:
         members = [r for r in rows if r[0]]
         if not members or len(members) == len(rows):
             return []
         sketch = np.frombuffer(b"".join(r[2] for r in members), np.uint8).reshape(len(members), -1)
-        sizes, out = np.array([len(r[3]) for r in members]), []
+        sizes, out, root = np.array([len(r[3]) for r in members]), [], {}
+
+        def head(i: int) -> int:
+            while root.get(i, i) != i:
+                i = root[i]
+            return i
+
         for _, x, own_sketch, own in (r for r in rows if not r[0]):
             fits = percent * np.maximum(sizes, len(own)) <= 100 * np.minimum(sizes, len(own))
             alike = (sketch == np.frombuffer(own_sketch, np.uint8)).sum(1)
             fits &= alike >= least
-            # The likeliest first: the members are linked already, so one link is enough.
             for i in sorted(np.flatnonzero(fits), key=lambda i: -alike[i]):
+                y = members[i][1]
+                if head(x) == head(y):
+                    continue
                 both = len(np.intersect1d(members[i][3], own, assume_unique=True))
                 if 100 * both >= percent * (len(own) + sizes[i] - both):
-                    out.append((x, members[i][1]))
-                    break
+                    out.append((x, y))
+                    root[head(x)] = head(y)
+                    if joined:  # the members are linked already, so one link is enough
+                        break
         return out
 
     def run(batches):
@@ -204,11 +215,11 @@ def _verify_parts(size: int, percent: int, least: int):
                 if _digest(own) != digest:
                     continue  # another row with the same doc_id
                 if (part, x, y) != at:
-                    found += compare(rows)
+                    found += compare(rows, at is not None and at[0] >= 0)
                     at, rows = (part, x, y), []
                 rows.append((member, i, sketch, own))
             yield _links(found)
-        yield _links(compare(rows))
+        yield _links(compare(rows, at is not None and at[0] >= 0))
 
     return run
 
@@ -219,10 +230,10 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def verified_parts(near: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, least: int) -> DataFrame:
-    """Links between documents x and members of the components ``part`` in ``near`` (x, part).
+    """Links between classes x and members of the homes ``part`` in ``near`` (x, part).
 
-    ``parts`` has (id, part) for all classes. A component is cut into blocks of members and its
-    documents into blocks too; every pair of blocks is one small group.
+    ``parts`` has (id, part) of all homes. A home is cut into blocks of members and the classes that
+    ask for it into blocks too; every pair of blocks is one small group.
     """
     asked = near.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("xs"))
     inside = parts.join(asked, "part")
@@ -258,13 +269,21 @@ def table_groups(classes: DataFrame, m: int) -> DataFrame:
     return tensor.select(F.xxhash64("x", "y").alias("table"), "id")
 
 
-def open_groups(groups: DataFrame, parts: DataFrame) -> DataFrame:
-    """(table, id, part, k): groups that still hold several components, with their size."""
-    placed = groups.join(parts, "id")
-    several = placed.groupBy("table").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k"))
+def open_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(table, id, component, k): groups that still hold several components, with their size."""
+    placed = groups.join(found, "id", "left")
+    part = F.coalesce("component", "id")
+    several = placed.groupBy("table").agg(F.min(part).alias("lo"), F.max(part).alias("hi"), F.count("*").alias("k"))
     return placed.join(several.filter("lo < hi").select("table", "k"), "table")
 
 
+def homes(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, part): components, and for unlinked classes their largest open group as a negative number."""
+    alone = rest.filter("component is null").groupBy("id").agg(F.max(F.struct("k", "table")).alias("m"))
+    group = F.bitwise_not(F.shiftrightunsigned("m.table", 1))
+    return found.select("id", F.col("component").alias("part")).unionByName(alone.select("id", group.alias("part")))
+
+
 def least_alike(m: int, percent: int) -> int:
     """Bytes of a sketch that agree at least when two sets reach the threshold."""
     bits, chance = 2 * m * HALF, percent / 100
@@ -273,23 +292,23 @@ def least_alike(m: int, percent: int) -> int:
 
 
 def _plausible(least: int, percent: int):
-    """Documents of one block pair that may be linked with a component: (x, part), smaller to larger."""
+    """(x, part) of one block pair: classes that may be linked with a member of a home, smaller home to larger."""
 
     def compare(rows: list[tuple]) -> np.ndarray:
-        ids, parts, weight, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3))
-        own = np.array([r[5] for r in rows])
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        ids, parts, homes, weight, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        own = np.array([r[6] for r in rows])
+        sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
         out = []
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
             fits = parts[rest] != parts[i]
             fits &= percent * np.maximum(sizes[rest], sizes[i]) <= 100 * np.minimum(sizes[rest], sizes[i])
-            if rows[i][6]:  # two blocks: only across
+            if rows[i][7]:  # two blocks: only across
                 fits &= own[rest] != own[i]
             at = np.flatnonzero(fits) + i + 1
             at = at[(sketch[at] == sketch[i]).sum(1) >= least]
-            small = (weight[at] < weight[i]) | ((weight[at] == weight[i]) & (parts[at] < parts[i]))
-            out.append(np.stack([np.where(small, ids[at], ids[i]), np.where(small, parts[i], parts[at])], 1))
+            small = (weight[at] < weight[i]) | ((weight[at] == weight[i]) & (homes[at] <= homes[i]))
+            out.append(np.stack([np.where(small, ids[at], ids[i]), np.where(small, homes[i], homes[at])], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -312,15 +331,18 @@ def _plausible(least: int, percent: int):
     return run
 
 
-def open_pairs(rest: DataFrame, classes: DataFrame, weights: DataFrame, m: int, percent: int) -> DataFrame:
-    """Distinct (x, part): documents and components that a sketch cannot rule out."""
+def open_pairs(rest: DataFrame, classes: DataFrame, parts: DataFrame, m: int, percent: int) -> DataFrame:
+    """Distinct (x, part): classes and homes that a sketch cannot rule out."""
     blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
     rows = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(classes.select("id", F.col("n_shingles").alias("n"), "sketch"), "id").join(weights, "part", "left")
+    weights = parts.groupBy("part").agg(F.count("*").alias("weight"))
+    known = classes.select("id", F.col("n_shingles").alias("n"), "sketch").join(parts, "id").join(weights, "part")
+    rows = rows.join(known, "id").withColumn("component", F.coalesce("component", "id"))
     x, y = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-    dealt = rows.select("table", x, y, "id", "part", F.coalesce("weight", F.lit(1)).alias("weight"), "n", "sketch", "own").repartition("table", "x", "y")
-    return dealt.sortWithinPartitions("table", "x", "y").mapInArrow(_plausible(least_alike(m, percent), percent), "x long, part long").distinct()
+    dealt = rows.select("table", x, y, "id", "component", "part", "weight", "n", "sketch", "own").repartition("table", "x", "y")
+    ordered = dealt.sortWithinPartitions("table", "x", "y")
+    return ordered.mapInArrow(_plausible(least_alike(m, percent), percent), "x long, part long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid: str | None = None) -> DataFrame:
@@ -347,9 +369,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid
     links = stored(verified(pairs, classes, texts, size, percent), "verified")
     found = stored(components(links), "components")
 
-    parts = classes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
-    weights = found.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("weight"))
-    near = stored(open_pairs(open_groups(groups, parts), classes, weights, m, percent), "near")
+    rest = stored(open_groups(groups, found), "open")
+    parts = stored(homes(rest, found), "homes")
+    near = stored(open_pairs(rest, classes, parts, m, percent), "near")
     more = verified_parts(near, parts, classes, texts, size, percent, least_alike(m, percent))
     found = components(links.unionByName(more))
 
