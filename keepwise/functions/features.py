@@ -59,9 +59,15 @@ def decision(probability: Column, threshold: float) -> Column:
     return (probability >= F.lit(float(threshold))).cast("int")
 
 
+def check_range(name: str, value: float, low: float, high: float = float("inf")) -> None:
+    """Reject a parameter outside [low, high]."""
+    if value < low or value > high or value != value:
+        bounds = f"at least {low:g}" if high == float("inf") else f"in [{low:g}, {high:g}]"
+        raise ValueError(f"{name} must be {bounds}: {value}")
+
+
 def check_threshold(threshold: float) -> None:
-    if not 0.0 <= threshold <= 1.0:
-        raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
+    check_range("threshold", threshold, 0, 1)
 
 
 def risk_band(rate: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
+from keepwise.functions.features import check_range
 from keepwise.functions.calendar import month_label
 from keepwise.functions.numbers import guarded, number
 from keepwise.operators.prepare import active_customers, enrich
@@ -36,8 +37,7 @@ def revenue_forecast(
     """
     keys = list(by or [])
     require_columns(df, PROBABILITY, "MonthlyCharges", TARGET, *keys)
-    if months < 1:
-        raise ValueError(f"months must be at least 1, got {months}")
+    check_range("months", months, 1)
     first = (start or date.today()).replace(day=1)
 
     active = active_customers(df)
@@ -55,7 +55,7 @@ def revenue_forecast(
     # months+1 entries per group, in order.
     line = F.array_sort(F.collect_list(F.struct("_m", "customers", "mrr", "bad")))
     lines = sums.groupBy(*keys).agg(line.alias("_line"))
-    none = F.raise_error(F.lit("no active customers to forecast"))
+    none = F.raise_error(F.lit("there is nobody left to project revenue for"))
     wrong = F.raise_error(F.lit(f"{PROBABILITY} must lie in [0, 1] and charges be known"))
     checked = F.when(F.size("_line") == 0, none).when(F.col("_line")[0]["bad"] > 0, wrong)
     lines = lines.withColumn("_line", checked.otherwise(F.col("_line")))
@@ -100,19 +100,26 @@ def kpis(df: DataFrame) -> DataFrame:
         F.count_if(stayed).alias("n_customers"),
         F.count_if(stayed & ((p < 0) | (p > 1))).alias("_bad"),
     )
-    loss = guarded(
-        F.col("expected_loss_next_month"), F.col("_bad") > 0, f"{PROBABILITY} must lie in [0, 1]"
-    )
-    mrr = guarded(F.col("mrr_today"), F.col("n_customers") == 0, "no active customers to forecast")
-    return sums.withColumns({"mrr_today": mrr, "expected_loss_next_month": loss}).drop("_bad")
+    # One checked struct: whichever figure is read, the checks come with it.
+    figures = F.struct(*[c for c in sums.columns if c != "_bad"])
+    nobody = F.raise_error(F.lit("there is nobody left to project revenue for"))
+    outside = F.raise_error(F.lit(f"{PROBABILITY} must lie in [0, 1]"))
+    checked = F.when(F.col("n_customers") == 0, nobody).when(F.col("_bad") > 0, outside).otherwise(figures)
+    return sums.select(checked.alias("_k")).select("_k.*")
 
 
 def group_breakdown(df: DataFrame, column: str) -> DataFrame:
-    """Active customers, revenue, mean risk and expected loss per group, largest loss first."""
+    """Active customers, revenue, mean risk and expected loss per group, largest loss first.
+
+    Having no active customers at all is an error.
+    """
     if column not in GROUP_COLUMNS:
-        raise KeyError(f"cannot group on {column!r}, choose from {GROUP_COLUMNS}")
+        raise KeyError(f"{column!r} is no breakdown column; these are: {', '.join(GROUP_COLUMNS)}")
     require_columns(df, PROBABILITY)
-    data = active_customers(enrich(df)).filter(F.col(column).isNotNull())
+    active = active_customers(enrich(df))
+    if active.isEmpty():
+        raise ValueError("there is nobody left to break down")
+    data = active.filter(F.col(column).isNotNull())
     charge, p = F.col("MonthlyCharges"), F.col(PROBABILITY)
     return (
         data.groupBy(column)
@@ -142,14 +149,13 @@ def with_new_customers(
     ``cohorts`` holds months_ahead, new_customers and monthly_charge (and the group keys).
     Each cohort row is spread over the months it lives in, at most months+1 rows, and summed
     per month; that replaces a join on k <= m. Cohorts of month 0 or past the horizon add
-    nothing, as do cohorts without a count.
+    nothing, as do cohorts without a count. A group that only the cohorts have starts without revenue.
     """
     keys = list(by or [])
     require_columns(forecast, "months_ahead", "expected_mrr", "expected_loss", *keys)
     require_columns(cohorts, "months_ahead", "new_customers", "monthly_charge", *keys)
     if not isinstance(monthly_risk, Column):
-        if not 0 <= monthly_risk <= 1:
-            raise ValueError(f"monthly_risk must lie in [0, 1], got {monthly_risk}")
+        check_range("monthly_risk", monthly_risk, 0, 1)
         monthly_risk = F.lit(float(monthly_risk))
     else:
         bad = monthly_risk.isNull() | (monthly_risk < 0) | (monthly_risk > 1)
@@ -173,6 +179,8 @@ def with_new_customers(
         )
     )
     joined = forecast.join(spread, [*keys, "months_ahead"], "left")
+    if keys:
+        joined = _with_new_groups(forecast, spread, keys)
     previous = F.lag("new_mrr", 1, 0.0).over(Window.partitionBy(*keys).orderBy("months_ahead"))
     return (
         joined.withColumns(
@@ -186,6 +194,28 @@ def with_new_customers(
     )
 
 
+def _with_new_groups(forecast: DataFrame, spread: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast and cohorts by group and month, groups of only one side included (null keys too)."""
+    calendar = [c for c in ("month", "month_label") if c in forecast.columns]
+    months = forecast.select("months_ahead", *calendar).distinct()
+    groups = forecast.select(*keys).unionByName(spread.select(*keys)).distinct()
+    # Groups times the months of the horizon: as many rows as the result has.
+    listed = months.agg(F.collect_list(F.struct("months_ahead", *calendar)).alias("_months"))
+    frame = groups.withColumn("_months", listed.scalar()).select(*keys, F.inline("_months"))
+
+    def same(other: str) -> Column:
+        on = F.col("f.months_ahead") == F.col(f"{other}.months_ahead")
+        for k in keys:
+            on = on & F.col(f"f.{k}").eqNullSafe(F.col(f"{other}.{k}"))
+        return on
+
+    known = [c for c in forecast.columns if c not in (*keys, "months_ahead", *calendar)]
+    joined = frame.alias("f").join(forecast.alias("o"), same("o"), "left").join(spread.alias("s"), same("s"), "left")
+    given = {c: F.coalesce(F.col(f"o.{c}"), F.lit(0.0)).alias(c) for c in known}
+    columns = [given[c] if c in given else F.col(f"f.{c}") for c in forecast.columns]
+    return joined.select(*columns, "s.new_customers", "s.new_mrr")
+
+
 def with_losses(table: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Loss against the previous month and since the first one, for any months_ahead table."""
     w = Window.partitionBy(*(by or [])).orderBy("months_ahead")

@@ -107,12 +107,18 @@ def compute_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y_true", p:
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select(
-        _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
-        _ratio(tp, tp + fp).alias("precision"),
-        _ratio(tp, tp + fn).alias("recall"),
-        _f1(tp, fp, fn).alias("f1"),
-        "roc_auc",
-    )
+        # The area carries the check for a single class, and all figures depend on it.
+        F.when(
+            F.col("roc_auc").isNotNull(),
+            F.struct(
+                _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                _ratio(tp, tp + fp).alias("precision"),
+                _ratio(tp, tp + fn).alias("recall"),
+                _f1(tp, fp, fn).alias("f1"),
+                "roc_auc",
+            ),
+        ).alias("_m")
+    ).select("_m.*")
 
 
 def _cells(df: DataFrame, thresholds: list[float], y: str, p: str) -> DataFrame:

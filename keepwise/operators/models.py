@@ -11,8 +11,11 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -169,20 +172,23 @@ def tune(
         fitted = family.build(setting, n).fit(vectors.filter(~F.col("_held")))
         return auc(fitted.transform(vectors.filter(F.col("_held"))))
 
-    scores = [0.0] * len(settings)
+    scores, prepared = [0.0] * len(settings), []
     try:
         rows = folded.count()
         folds_at_once = fits_at_once(rows, folds)
         with ThreadPool(fits_at_once(rows, parallelism)) as pool:
             for first in range(0, folds, folds_at_once):
                 batch = range(first, min(folds, first + folds_at_once))
-                prepared = in_parallel(pool, prepare, batch)
-                tasks = [(fold, setting) for setting in settings for fold in prepared]
+                prepared += in_parallel(pool, prepare, batch)
+                # The longest fits are listed last; they start first, so that no core waits for them.
+                tasks = [(fold, setting) for setting in reversed(settings) for fold in prepared]
                 for i, value in enumerate(in_parallel(pool, run, tasks)):
-                    scores[i // len(batch)] += value / folds
-                for vectors, _ in prepared:
-                    vectors.unpersist()
+                    scores[len(settings) - 1 - i // len(batch)] += value / folds
+                while prepared:
+                    prepared.pop()[0].unpersist()
     finally:
+        for vectors, _ in prepared:
+            vectors.unpersist()
         folded.unpersist()
     best: dict[str, tuple[dict, float]] = {}
     for (family, setting), score in zip(settings, scores, strict=True):
@@ -216,32 +222,37 @@ def fit_pipelines(
     return [PipelineModel([*prepared.stages, model]) for model in fitted]
 
 
+# What a fitted classifier says about its columns: name of the figures and where they stand.
+WEIGHTS = {
+    LogisticRegressionModel: ("coefficient", "coefficients"),
+    DecisionTreeClassificationModel: ("importance", "featureImportances"),
+    RandomForestClassificationModel: ("importance", "featureImportances"),
+}
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """(feature, value, kind), largest absolute value first."""
-    classifier = model.stages[-1]
-    if hasattr(classifier, "featureImportances"):
-        values, kind = classifier.featureImportances.toArray(), "importance"
-    elif hasattr(classifier, "coefficients"):
-        values, kind = classifier.coefficients.toArray(), "coefficient"
-    else:
-        raise ValueError(f"{type(classifier).__name__} has neither importances nor coefficients")
-    rows = [(n, float(v), kind) for n, v in zip(feature_names(model), values, strict=True)]
-    table = spark.createDataFrame(rows, "feature string, value double, kind string")
-    return table.orderBy(F.desc(F.abs("value")), "feature")
+    """(feature, value, kind) of every model column, largest absolute value first."""
+    classifier = type(model.stages[-1])
+    if classifier not in WEIGHTS:
+        raise ValueError(f"no column weights are known for {classifier.__name__}")
+    kind, attribute = WEIGHTS[classifier]
+    vector = getattr(model.stages[-1], attribute).toArray().tolist()
+    named = spark.createDataFrame(list(zip(feature_names(model), vector, strict=True)), "feature string, value double")
+    return named.withColumn("kind", F.lit(kind)).orderBy(F.abs("value").desc(), "feature")
 
 
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
     return importance.orderBy(F.desc(F.abs("value")), "feature").limit(n)
 
 
-def predict_proba(model: PipelineModel, df: DataFrame, check_empty: bool = False) -> DataFrame:
+def predict_proba(model: PipelineModel, df: DataFrame, check_empty: bool = True) -> DataFrame:
     """The input rows with churn_probability.
 
     Needs the raw feature columns in any order; a target or other columns pass through
-    untouched. ``check_empty`` adds a job that rejects an empty input.
+    untouched. An empty input is rejected, unless it is a stream or ``check_empty`` is off.
     """
     check_columns(df, require_target=False)
-    if check_empty and df.isEmpty():
+    if check_empty and not df.isStreaming and df.isEmpty():
         raise SchemaError("the data set is empty")
     given = [c for c in df.columns if c != PROBABILITY]
     kept = F.struct(*[F.col(f"`{c}`") for c in given]).alias("_given")
@@ -278,5 +289,5 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     try:
         spark.read.text(f"{path}/metadata")
     except AnalysisException as error:
-        raise FileNotFoundError(f"no trained model at {path}; run the training plan first") from error
+        raise FileNotFoundError(f"nothing saved as a model at {path}") from error
     return PipelineModel.load(path)

@@ -54,16 +54,16 @@ def features_with_label(df: DataFrame) -> DataFrame:
 
 
 def filter_customers(
-    df: DataFrame, filters: dict[str, list], require_match: bool = False
+    df: DataFrame, filters: dict[str, list], require_match: bool = True
 ) -> DataFrame:
     """AND across columns, OR within a column; an empty list does not filter.
 
-    ``require_match`` adds a job that raises ValueError when nobody is left.
+    A filter that leaves nobody is an error; ``require_match=False`` (as for streams) skips that job.
     """
     require_columns(df, *filters)
     tests = [F.col(c).isin(list(values)) for c, values in filters.items() if values]
     kept = df.filter(reduce(and_, tests)) if tests else df
-    if require_match and kept.isEmpty():
+    if tests and require_match and not df.isStreaming and kept.isEmpty():
         raise ValueError("the filter matches no customers")
     return kept
 

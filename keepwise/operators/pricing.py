@@ -10,21 +10,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.functions.numbers import number
+from keepwise.functions.numbers import guarded, number
 from keepwise.operators.metrics import r2
 from keepwise.operators.quality import require_columns
 from keepwise.operators.split import SEED, assign, holdout_sizes
 from keepwise.schema import ID, PRICE_FEATURES
-from keepwise.session import join_small
 
 CHARGE = "MonthlyCharges"
 
 
 def pricing_data(df: DataFrame) -> DataFrame:
-    """Id, price features and charge of customers with internet; an unknown service counts."""
+    """Id, price features and charge of customers with internet; an unknown service counts.
+
+    A customer without a charge fails the query that reads the charge.
+    """
     require_columns(df, "InternetService", CHARGE, *PRICE_FEATURES)
     offline = F.col("InternetService").eqNullSafe(F.lit("No"))
-    return df.filter(~offline).select(ID, *PRICE_FEATURES, number(df, CHARGE).cast("double").alias(CHARGE))
+    charge = number(df, CHARGE).cast("double")
+    known = guarded(charge, charge.isNull(), "customers to price must have a charge")
+    return df.filter(~offline).select(ID, *PRICE_FEATURES, known.alias(CHARGE))
 
 
 def split_pricing(data: DataFrame, seed: int = SEED) -> DataFrame:
@@ -37,8 +41,7 @@ def bundles(data: DataFrame) -> DataFrame:
 
     This is all that the regression needs of the rows, and it is pre-aggregated where they lie.
     """
-    priced = data.filter(F.col(CHARGE).isNotNull())
-    return priced.groupBy(*PRICE_FEATURES).agg(F.count("*").alias("n"), F.sum(CHARGE).alias("total"))
+    return data.groupBy(*PRICE_FEATURES).agg(F.count("*").alias("n"), F.sum(CHARGE).alias("total"))
 
 
 def _levels() -> Column:
@@ -47,16 +50,21 @@ def _levels() -> Column:
     return F.array(*named)
 
 
-def gramian(bundled: DataFrame) -> DataFrame:
-    """(a, b, n): customers that have both level a and level b.
+def cross_products(bundled: DataFrame) -> DataFrame:
+    """(a, b, n, total): customers that have both level a and level b, and what they pay.
 
     Each bundle spans its own 12 x 12 level pairs and is summed away at once, so what is
     shuffled is at most one row per pair of levels and task.
     """
-    levels = bundled.select("n", _levels().alias("levels"))
-    left = levels.select("n", "levels", F.explode("levels").alias("a"))
-    pairs = left.select("n", "a", F.explode("levels").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    levels = bundled.select("n", "total", _levels().alias("levels"))
+    left = levels.select("n", "total", "levels", F.explode("levels").alias("a"))
+    pairs = left.select("n", "total", "a", F.explode("levels").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def gramian(bundled: DataFrame) -> DataFrame:
+    """(a, b, n): customers that have both level a and level b."""
+    return cross_products(bundled).select("a", "b", "n")
 
 
 def moments(bundled: DataFrame) -> DataFrame:
@@ -86,17 +94,18 @@ class PriceModel:
 def fit_price_model(train: DataFrame) -> PriceModel:
     """Minimum-norm least squares on centred one-hot columns.
 
-    Spark sums the cross products; the driver sees one small matrix over the service levels.
+    Spark sums the cross products in one aggregation; the driver sees one matrix over the service
+    levels, of which there are a few dozen. Its diagonal holds the counts and totals of single levels.
     One-hot columns are linearly dependent, which the pseudo-inverse resolves.
     """
-    bundled = bundles(train)
-    sums = {row["level"]: (row["n"], row["total"]) for row in moments(bundled).collect()}
+    products = cross_products(bundles(train)).collect()
+    sums = {row["a"]: (row["n"], row["total"]) for row in products if row["a"] == row["b"]}
     if not sums:
         raise ValueError("no customers with internet to price")
     names = sorted(sums)
     where = {name: i for i, name in enumerate(names)}
     cross = np.zeros((len(names), len(names)))
-    for row in gramian(bundled).collect():
+    for row in products:
         cross[where[row["a"]], where[row["b"]]] = row["n"]
     # Every row has exactly one level per feature.
     first = [name for name in names if name.startswith(f"{PRICE_FEATURES[0]}_")]
@@ -114,7 +123,7 @@ def train_price_model(data: DataFrame, seed: int = SEED) -> tuple[PriceModel, Da
     """The model from 80 % of the rows, and its r2 on the others as one row."""
     split = split_pricing(data, seed)
     model = fit_price_model(split.filter(F.col("part") == "train"))
-    held = split.filter((F.col("part") == "test") & F.col(CHARGE).isNotNull())
+    held = split.filter(F.col("part") == "test")
     return model, r2(held.withColumn("predicted", model.price()), CHARGE, "predicted")
 
 
@@ -134,7 +143,7 @@ def flag_unseen(quotes: DataFrame, observed: DataFrame) -> DataFrame:
     """Quotes with extrapolated = no observed customer has that internet and phone service."""
     pair = ["InternetService", "PhoneService"]
     seen = observed.select(*pair).distinct().withColumn("_seen", F.lit(True))
-    marked = join_small(quotes, seen, pair)
+    marked = quotes.join(seen, pair, "left")
     return marked.withColumn("extrapolated", F.col("_seen").isNull()).drop("_seen")
 
 

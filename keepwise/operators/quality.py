@@ -26,8 +26,8 @@ def check_columns(df: DataFrame, require_target: bool = True) -> None:
 def validate(df: DataFrame, require_target: bool = True) -> None:
     """Raise SchemaError when the data cannot be trained or scored on.
 
-    One aggregation covers the emptiness and target checks; the offending values are only
-    listed (the first 20 of them, for the message) when there are any.
+    One aggregation covers the emptiness and target checks. ``unexpected_targets`` lists the
+    offending values; the message gives the number of them and the smallest and largest.
     """
     if not require_target:
         if df.isEmpty():
@@ -41,42 +41,58 @@ def validate(df: DataFrame, require_target: bool = True) -> None:
     unexpected = ~target.isin(STAYED, LEFT)
     found = df.agg(
         F.count("*").alias("rows"),
-        F.count_if(unexpected).alias("unexpected"),
+        F.countDistinct(F.when(unexpected, target)).alias("unexpected"),
+        F.min(F.when(unexpected, target)).alias("low"),
+        F.max(F.when(unexpected, target)).alias("high"),
         F.count_if(target.isNull()).alias("missing"),
     ).first()
     if found["rows"] == 0:
         raise SchemaError("the data set is empty")
     check_columns(df)
     if found["unexpected"]:
-        values = df.filter(unexpected).select(TARGET).distinct().orderBy(TARGET).limit(20)
-        names = [row[0] for row in values.collect()]
-        raise SchemaError(f"unexpected values in {TARGET}: {names}; allowed: {[STAYED, LEFT]}")
+        seen = " to ".join(repr(v) for v in dict.fromkeys([found["low"], found["high"]]))
+        raise SchemaError(
+            f"{found['unexpected']} unexpected values in {TARGET} ({seen}), see unexpected_targets(); allowed: {[STAYED, LEFT]}"
+        )
     if found["missing"]:
         raise SchemaError(f"{TARGET} has missing values")
 
 
+def unexpected_targets(df: DataFrame) -> DataFrame:
+    """(value, n): every target value that is not allowed, null left out."""
+    target = F.col(TARGET)
+    wrong = df.filter(~target.isin(STAYED, LEFT))
+    return wrong.groupBy(target.alias("value")).agg(F.count("*").alias("n")).orderBy("value")
+
+
 def data_quality(df: DataFrame) -> DataFrame:
     """One row: kunder, unika_id, dubbletter, tomma_totalcharges.
 
-    Equal rows share their id and fingerprint, so the narrow (id, fingerprint) counts already
-    prove a table free of duplicates. Only if some pair repeats are whole rows compared, and
-    then only those of the repeating pairs.
+    Equal rows share their id and fingerprint. Ids are shuffled once, to count by (id, fingerprint);
+    everything else follows from those counts. Only if some pair repeats are whole rows compared,
+    and then only those of the repeating pairs.
     """
     require_columns(df, ID, "TotalCharges")
-    summary = df.agg(
-        F.count("*").alias("kunder"),
-        F.countDistinct(ID).alias("unika_id"),
-        F.count_if(number(df, "TotalCharges").isNull()).alias("tomma_totalcharges"),
-    )
     marked = df.select("*", F.xxhash64(*df.columns).alias("_print"))
-    repeated = marked.groupBy(ID, "_print").agg(F.count("*").alias("_n")).filter("_n > 1")
-    duplicates = F.lit(0).cast("bigint")
-    if not repeated.isEmpty():
-        pairs = repeated.select(F.col(ID).alias("_id"), F.col("_print").alias("_p"))
+    blank = F.count_if(number(df, "TotalCharges").isNull()).alias("blank")
+    pairs = marked.groupBy(ID, "_print").agg(F.count("*").alias("n"), blank)
+    per_id = pairs.groupBy(ID).agg(F.sum("n").alias("n"), F.sum("blank").alias("blank"), F.max("n").alias("most"))
+    found = per_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.count(ID).alias("ids"),
+        F.coalesce(F.sum("blank"), F.lit(0)).alias("blank"),
+        F.max("most").alias("most"),
+    ).first()
+    duplicates = 0
+    if (found["most"] or 0) > 1:
+        repeated = pairs.filter("n > 1").select(F.col(ID).alias("_id"), F.col("_print").alias("_p"))
         same = F.col(ID).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p"))
-        copies = marked.join(pairs, same, "left_semi").groupBy(df.columns).agg(F.count("*").alias("_n"))
-        duplicates = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
-    return summary.select("kunder", "unika_id", duplicates.alias("dubbletter"), "tomma_totalcharges")
+        copies = marked.join(repeated, same, "left_semi").groupBy(df.columns).agg(F.count("*").alias("_n"))
+        duplicates = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+    return df.sparkSession.createDataFrame(
+        [(found["rows"], found["ids"], duplicates, found["blank"])],
+        "kunder long, unika_id long, dubbletter long, tomma_totalcharges long",
+    )
 
 
 def column_profile(df: DataFrame) -> DataFrame:

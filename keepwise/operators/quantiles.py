@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many values, the built-in exact percentile may hold them all.
-SMALL = 1_000_000
+# Up to this many distinct values are ranked in one window.
+SMALL = 20_000
 # percentile_approx is off by at most 1/ACCURACY of the ranks.
 ACCURACY = 10_000
 
@@ -22,19 +22,14 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per named column, NULLs left out.
 
-    Few values: one ``percentile`` aggregation. Many: intervals around the wanted ranks are
-    narrowed with ``percentile_approx`` and exact counts, one scan per round for all columns,
-    until at most ``small`` distinct values remain in each; these are then ranked exactly.
-    ``totals`` are the columns' non-NULL counts, where the caller has them already.
+    Intervals around the wanted ranks are narrowed with ``percentile_approx`` and exact counts, one
+    scan per round for all columns, until at most ``small`` distinct values remain in each; columns
+    of fewer values need no round. What remains is counted by value and ranked exactly, once for all
+    ranks of an interval. ``totals`` are the columns' non-NULL counts, where the caller has them.
     """
     data = df.select([c.cast("double").alias(name) for name, c in columns.items()])
     if totals is None:
         totals = data.agg(*[F.count(name).alias(name) for name in columns]).first().asDict()
-    if max(totals.values(), default=0) <= small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = data.agg(*[F.percentile(name, wanted).alias(name) for name in columns]).first()
-        return {name: list(row[name] or [None] * len(probs)) for name in columns}
-
     targets = []
     for name in columns:
         for p in probs:
@@ -42,7 +37,12 @@ def exact_quantiles(
             if totals[name]:
                 targets.append(_Target(name, p, math.floor(position), math.ceil(position), position))
     _narrow(data, targets, totals, small)
-    values = {(t.name, t.prob): _value(data, t) for t in targets}
+    intervals: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        intervals.setdefault((t.name, t.low, t.high), []).append(t)
+    values = {}
+    for group in intervals.values():
+        values |= _values(data, group)
     return {name: [values.get((name, p)) for p in probs] for name in columns}
 
 
@@ -64,7 +64,7 @@ class _Target:
 def _narrow(data: DataFrame, targets: list[_Target], totals: dict, small: int) -> None:
     for target in targets:
         target.inside = totals[target.name]
-    open_targets = list(targets)
+    open_targets = [t for t in targets if totals[t.name] > small]
     while open_targets:
         asked = []
         for i, t in enumerate(open_targets):
@@ -95,13 +95,20 @@ def _narrow(data: DataFrame, targets: list[_Target], totals: dict, small: int) -
         open_targets = still_open
 
 
-def _value(data: DataFrame, t: _Target) -> float:
-    if t.low == t.high:
-        return t.low
+def _values(data: DataFrame, targets: list[_Target]) -> dict[tuple, float]:
+    """The wanted quantiles of one interval."""
+    t = targets[0]
+    if t.low is not None and t.low == t.high:
+        return {(x.name, x.prob): x.low for x in targets}
+    # At most ``small`` rows in one window.
     seen = F.sum("n").over(Window.orderBy("value"))
     counts = data.filter(t.within(t.low, t.high)).groupBy(F.col(t.name).alias("value"))
     ranked = counts.agg(F.count("*").alias("n")).select("value", "n", (seen + t.below).alias("seen"))
-    hits = ranked.filter((F.col("seen") > t.first) & (F.col("seen") - F.col("n") <= t.last))
-    found = sorted((row["seen"], row["value"]) for row in hits.collect())
-    lower, upper = found[0][1], found[-1][1]
-    return lower + (upper - lower) * (t.position - t.first)
+    wanted = [(F.col("seen") > x.first) & (F.col("seen") - F.col("n") <= x.last) for x in targets]
+    hits = ranked.select("value", "seen", F.array(*wanted).alias("hit")).filter(F.exists("hit", lambda h: h)).collect()
+    out = {}
+    for i, x in enumerate(targets):
+        found = sorted((row["seen"], row["value"]) for row in hits if row["hit"][i])
+        lower, upper = found[0][1], found[-1][1]
+        out[x.name, x.prob] = lower + (upper - lower) * (x.position - x.first)
+    return out

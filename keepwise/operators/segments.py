@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -19,15 +18,14 @@ from keepwise.functions import features as X
 from keepwise.operators.models import FEATURES_COL, in_parallel, preprocessing
 from keepwise.operators.prepare import enrich
 from keepwise.operators.quality import require_columns
-from keepwise.operators.split import SEED, id_hash
+from keepwise.operators.split import SEED
 from keepwise.operators.stages import NumericScaler
 from keepwise.schema import FEATURES, ID, TARGET
 from keepwise.session import fits_at_once
 
-# Default number of segments, range tried, size of the silhouette sample.
+# Default number of segments, range tried.
 DEFAULT_K = 4
 K_RANGE = range(2, 9)
-SILHOUETTE_SAMPLE = 2000
 STARTS = 10
 
 
@@ -91,61 +89,28 @@ def kmeans_scores(
             raise ValueError("too few rows to cluster")
         models = best_kmeans(cached, list(ks), seed, starts, parallelism)
         inertia = {k: float(m.summary.trainingCost) for k, m in models.items()}
-        scores = silhouettes(cached, models, seed)
+        scores = silhouettes(cached, models)
     finally:
         cached.unpersist()
     rows = [(k, inertia[k], scores.get(k)) for k in ks]
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-def silhouettes(
-    vectors: DataFrame, models: dict[int, KMeansModel], seed: int = SEED, size: int = SILHOUETTE_SAMPLE
-) -> dict[int, float]:
-    """Mean Euclidean silhouette per model over one sample of at most ``size`` customers.
+def silhouette(labelled: DataFrame, column: str = "segment") -> float:
+    """Mean silhouette of all rows by squared Euclidean distance; it needs cluster sums only, no pairs."""
+    return ClusteringEvaluator(featuresCol=FEATURES_COL, predictionCol=column).evaluate(labelled)
 
-    The sample is the first ``size`` customers in hash order and is the only thing that
-    reaches every task; each task compares its share of the sample with all of it.
-    """
-    labelled = vectors.orderBy(id_hash(seed), ID).limit(size)
-    for k, model in models.items():
-        labelled = model.setPredictionCol(f"label_{k}").transform(labelled)
-    columns = [f"label_{k}" for k in models]
-    sample = labelled.select(vector_to_array(FEATURES_COL).alias("point"), *columns).toPandas()
-    points = np.array(sample["point"].tolist(), dtype=float)
-    labels = {k: sample[f"label_{k}"].to_numpy() for k in models}
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((points, labels))
-
-    def rows_of(distance, rows, label):
-        present, codes = np.unique(label, return_inverse=True)
-        sizes = np.bincount(codes)
-        sums = distance @ np.eye(len(present))[codes]
-        own, at = codes[rows], np.arange(len(rows))
-        inside = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-        others = sums / sizes
-        others[at, own] = np.inf
-        nearest = others.min(1)
-        with np.errstate(invalid="ignore"):
-            value = (nearest - inside) / np.maximum(inside, nearest)
-        return np.where((sizes[own] == 1) | ~np.isfinite(value), 0.0, value)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everyone, clusters = shared.value
-        for batch in batches:
-            rows = batch["row"].to_numpy()
-            own = everyone[rows]
-            square = (own**2).sum(1)[:, None] + (everyone**2).sum(1)[None, :] - 2 * own @ everyone.T
-            distance = np.sqrt(np.maximum(square, 0.0))
-            distance[np.arange(len(rows)), rows] = 0.0
-            for k, label in clusters.items():
-                yield pd.DataFrame({"k": k, "score": rows_of(distance, rows, label)})
-
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(points) // 100))
-    result = spark.range(0, len(points), 1, parts).select(F.col("id").alias("row"))
-    means = result.mapInPandas(score, "k int, score double").groupBy("k").agg(F.avg("score").alias("s"))
-    found = {row["k"]: row["s"] for row in means.collect()}
-    shared.unpersist()
-    return found
+
+def silhouettes(vectors: DataFrame, models: dict[int, KMeansModel]) -> dict[int, float | None]:
+    """Silhouette per model; null where the model found a single cluster."""
+    return {
+        k: silhouette(model.setPredictionCol("segment").transform(vectors)) if _parts(model) > 1 else None
+        for k, model in models.items()
+    }
+
+
+def _parts(model: KMeansModel) -> int:
+    return sum(n > 0 for n in model.summary.clusterSizes)
 
 
 def projection(vectors: DataFrame, components: int = 2) -> tuple[PipelineModel, list[float]]:

@@ -138,14 +138,19 @@ class BalancedWeights(Estimator, HasLabelCol, _Stage):
             self._set(labelCol="label", weightCol="weight")
 
     def _fit(self, df: DataFrame) -> BalancedWeightsModel:
-        label = self.getLabelCol()
-        rows = df.groupBy(label).count().filter(F.col(label).isNotNull()).limit(1000).collect()
-        total = sum(row["count"] for row in rows)
+        label = F.col(self.getLabelCol())
+        counts = {cls: F.count_if(label == cls) for cls in (0.0, 1.0)}
+        other = F.count_if(label.isNotNull() & ~label.isin(0.0, 1.0))
+        *found, strange = df.agg(*counts.values(), other).first()
+        if strange:
+            raise ValueError(f"{strange} labels are neither 0 nor 1")
+        present = {cls: n for cls, n in zip(counts, found, strict=True) if n}
+        total = sum(present.values())
         return BalancedWeightsModel().with_params(
-            labelCol=label,
+            labelCol=self.getLabelCol(),
             weightCol=self.getOrDefault(self.weightCol),
-            classes=[float(row[label]) for row in rows],
-            weights=[total / (len(rows) * row["count"]) for row in rows],
+            classes=list(present),
+            weights=[total / (len(present) * n) for n in present.values()],
         )
 
 

@@ -15,6 +15,7 @@ from keepwise.schema import (
     NUMERIC,
     PRICE_FEATURES,
     RAW_CATEGORICAL,
+    RAW_FEATURES,
     REQUIRED,
 )
 
@@ -205,6 +206,16 @@ quota AS (SELECT label, test, floor(exact_val)
 parts AS (SELECT "customerID", label, CASE WHEN rn <= test THEN 'test' WHEN rn <= test + val
     THEN 'validation' ELSE 'train' END AS part FROM rows JOIN quota USING (label))"""
 
+
+
+def _input_json(source: str) -> str:
+    pairs = ", ".join(f"'{c}', {source}.\"{c}\"" for c in RAW_FEATURES)
+    return f"""replace(CAST(json_object({pairs}) AS VARCHAR), ',"TotalCharges":null', '') AS customer_input"""
+
+
+UNIQUE = """, outcomes AS (SELECT "customerID", CAST(churn_flag AS INTEGER) AS y,
+    CAST(('0x' || md5("customerID")[1:7]) AS BIGINT) / CAST(268435456 AS DOUBLE) AS p FROM features)"""
+
 OUTCOMES = ", outcomes AS (SELECT \"customerID\", CAST(churn_flag AS INTEGER) AS y, churn_probability AS p FROM scored)"
 
 
@@ -223,6 +234,15 @@ def _div(a: str, b: str) -> str:
 PRECISION, RECALL = _div("tp", "(tp + fp)"), _div("tp", "(tp + fn)")
 F1 = _div("2 * tp", "(2 * tp + fp + fn)")
 
+# Squared distances from cluster sums: |x|^2 + mean |y|^2 - 2 x mean y.
+SILHOUETTE = """, points AS (SELECT tenure % 4 AS s, CAST(tenure AS DOUBLE) AS a, "MonthlyCharges" AS b FROM features),
+sums AS (SELECT s, CAST(count(*) AS DOUBLE) AS n, avg(a) AS ma, avg(b) AS mb, avg(a * a + b * b) AS q FROM points GROUP BY s),
+far AS (SELECT p.s AS own, c.s, n, a, b, row_number() OVER (PARTITION BY c.s ORDER BY a, b, p.s) AS i,
+    a * a + b * b + q - 2 * (a * ma + b * mb) AS d FROM points p CROSS JOIN sums c),
+each AS (SELECT i, max(CASE WHEN own = s THEN d * n / (n - 1) END) AS inside, min(CASE WHEN own <> s THEN d END) AS near,
+    max(CASE WHEN own = s THEN n END) AS n FROM far GROUP BY i)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (near - inside) / greatest(near, inside) END), 6) + 0.0 AS silhouette FROM each"""
+
 AUC = """ranks AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
     FROM outcomes GROUP BY p),
 auc AS (SELECT sum(neg * (above + pos / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM
@@ -333,24 +353,25 @@ def statements() -> dict[str, str]:
     pairs = [(a, b) for a in NUMERIC for b in NUMERIC]
     outcome = f"{r('churn_probability', 'churn_probability')}"
     texts = [*RAW_CATEGORICAL, "Churn"]
+    stored = ", ".join(r(f'"{c}"', f'"{c}"') if c in ("MonthlyCharges", "TotalCharges") else f'"{c}"' for c in REQUIRED)
 
     sql = {
         "subscribers": _subscribers(customers),
         "csv_ingest": _subscribers(customers),
         "scored_export": _scored(
-            f' SELECT "customerID", {outcome}, CASE WHEN churn_probability >= {T} THEN 1 ELSE 0 END '
+            f" SELECT {stored}, {outcome}, CASE WHEN churn_probability >= {T} THEN 1 ELSE 0 END "
             "AS predicted_churn FROM scored"
         ),
         "customers_preview": _subscribers(f'{customers} ORDER BY "customerID" LIMIT 200'),
         "prediction_log_latest": _scored(
-            f""" SELECT '2026-01-02T00:00:00' AS created_at, "customerID", {outcome},
+            f""" SELECT '2026-01-02T00:00:00' AS created_at, "customerID", {_input_json("scored")}, {outcome},
     CAST({T} AS DOUBLE) AS threshold, CASE WHEN churn_probability >= {T} THEN 1 ELSE 0 END AS predicted_churn
     FROM scored ORDER BY "customerID" DESC LIMIT 50"""
         ),
         "stream_scoring": _scored(
-            f""" SELECT '2026-01-01T00:00:00' AS created_at, "customerID", {outcome},
+            f""" SELECT '2026-01-01T00:00:00' AS created_at, "customerID", {_input_json("subscribers")}, {outcome},
     CAST({T} AS DOUBLE) AS threshold, CASE WHEN churn_probability >= {T} THEN 1 ELSE 0 END AS predicted_churn
-    FROM scored"""
+    FROM scored JOIN subscribers USING ("customerID")"""
         ),
         "data_quality": _features(
             """SELECT count(*) AS kunder, count(DISTINCT "customerID") AS unika_id,
@@ -491,7 +512,7 @@ SELECT months_ahead, month_label, 'Dagens kunder utan nykunder', expected_mrr FR
         ),
         "top_risk_customers": _scored(
             f' SELECT "customerID", "Contract", {outcome} FROM scored '
-            'ORDER BY scored.churn_probability DESC, "customerID" LIMIT 100'
+            'ORDER BY scored.churn_probability DESC, "customerID"'
         ),
         "flagged_count": _scored(
             f" SELECT count(*) FILTER (churn_probability >= {T}) AS flaggade, count(*) AS kunder FROM scored"
@@ -524,6 +545,31 @@ SELECT months_ahead, month_label, 'Dagens kunder utan nykunder', expected_mrr FR
 SELECT "customerID", label, CAST({" + ".join(f"CASE WHEN rn > ceil(n * {f} / 5.0) THEN 1 ELSE 0 END" for f in range(1, 5))}
     AS INTEGER) AS fold FROM ranked"""
         ),
+        "balanced_weights": _features(
+            f"SELECT churn_flag AS label, {r('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} "
+            "FROM features GROUP BY churn_flag"
+        ),
+        "held_out_rows": _features(
+            f"{SPLIT_CTES} SELECT \"customerID\", CAST(label AS INTEGER) AS y_true FROM parts WHERE part = 'test'"
+        ),
+        "unique_metrics": _features(
+            f"""{UNIQUE}, {_cells("0.5")}, {AUC} SELECT {r("(tp + tn) / (tp + fp + fn + tn)", "accuracy")},
+    {r(PRECISION, "precision")}, {r(RECALL, "recall")}, {r(F1, "f1")}, {r("auc", "roc_auc")} FROM cells CROSS JOIN auc"""
+        ),
+        "unique_roc_auc": _features(f"{UNIQUE}, {AUC} SELECT {r('auc', 'roc_auc')} FROM auc"),
+        "unique_roc_points": _features(f"{UNIQUE}{CURVE} SELECT {r('threshold')}, {r('fpr')}, {r('tpr')} FROM curve"),
+        "fixed_silhouette": _features(SILHOUETTE),
+        "dashboard_by_segment": _scored(
+            f""" SELECT {r("sum(CASE WHEN \"Churn\" = 'No' THEN \"MonthlyCharges\" END)", "mrr_today")},
+    {r("sum(CASE WHEN \"Churn\" = 'No' THEN \"MonthlyCharges\" * churn_probability END)", "expected_loss_next_month")},
+    coalesce({r("sum(CASE WHEN \"Churn\" = 'Yes' THEN \"MonthlyCharges\" END)")}, 0.0) AS actual_loss_last_month,
+    {r("avg(CASE WHEN \"Churn\" = 'No' THEN churn_probability END)", "predicted_churn_rate")},
+    count(*) FILTER ("Churn" = 'No') AS n_customers
+    FROM scored WHERE tenure % 4 IN (1, 2) AND "Contract" IN ('Two year', 'One year')"""
+        ),
+        "price_residuals": _features(
+            f"""{PRICED} SELECT "InternetService", CAST(0 AS DOUBLE) AS residual FROM priced GROUP BY ALL"""
+        ),
         "class_weights": _features(
             f"SELECT churn_flag AS label, count(*) AS n, "
             f"{r('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM features GROUP BY churn_flag"

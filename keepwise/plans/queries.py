@@ -6,6 +6,7 @@ from datetime import date
 from functools import partial
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,13 @@ from keepwise.operators import (
     segments,
     split,
 )
-from keepwise.operators.stages import NumericScaler
+from keepwise.operators.stages import BalancedWeights, NumericScaler
 from keepwise.plans import dashboard as dashboards
 from keepwise.plans.tables import (
     customers,
     customers_path,
     fresh_path,
+    once,
     outcomes,
     scored,
     trained,
@@ -42,9 +44,11 @@ from keepwise.schema import (
     LABEL,
     NUMERIC,
     PROBABILITY,
+    REQUIRED,
     SIMPLE_FEATURES,
     TARGET,
 )
+from keepwise.session import write_table
 from keepwise.sources import customers as customer_source
 from keepwise.sources import logs
 from keepwise.sources.subscribers import subscribers
@@ -86,11 +90,11 @@ def csv_ingest(spark, sf_dir):
 
 
 def scored_export(spark, sf_dir):
-    """Scored customers written as CSV and read back with every column as text."""
-    rows = scored(spark, sf_dir).select(ID, PROBABILITY, X.decision(F.col(PROBABILITY), THRESHOLD).alias("predicted_churn"))
+    """Scored customers with all their columns, written as CSV and read back."""
+    table = scored(spark, sf_dir)
+    rows = table.select(*REQUIRED, PROBABILITY, X.decision(F.col(PROBABILITY), THRESHOLD).alias("predicted_churn"))
     back = customer_source.read_csv(spark, customer_source.export_csv(rows, fresh_path(spark, "export")))
-    typed = back.select(ID, F.col(PROBABILITY).cast("double"), F.col("predicted_churn").cast("int"))
-    return rounded(typed)
+    return rounded(back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]))
 
 
 def prediction_log_latest(spark, sf_dir):
@@ -99,7 +103,7 @@ def prediction_log_latest(spark, sf_dir):
     table = scored(spark, sf_dir)
     logs.log_predictions(table, log, 0.5, "2026-01-01T00:00:00")
     logs.log_predictions(table, log, THRESHOLD, "2026-01-02T00:00:00")
-    return rounded(logs.load_predictions(spark, log, 50).drop("customer_input"))
+    return rounded(logs.load_predictions(spark, log, 50))
 
 
 def _runs(spark, sf_dir):
@@ -191,8 +195,7 @@ def flagged_count(spark, sf_dir):
 
 
 def top_risk_customers(spark, sf_dir):
-    ranked = models.rank_by_risk(scored(spark, sf_dir).select(ID, "Contract", PROBABILITY))
-    return rounded(ranked.limit(100))
+    return rounded(models.rank_by_risk(scored(spark, sf_dir).select(ID, "Contract", PROBABILITY)))
 
 
 # --- splits and preprocessing
@@ -211,6 +214,12 @@ def class_weights(spark, sf_dir):
     return rounded(split.class_weights(prepare.features_with_label(customers(spark, sf_dir))))
 
 
+def balanced_weights(spark, sf_dir):
+    """(label, weight) as the stage of the models gives them to rows."""
+    rows = prepare.features_with_label(customers(spark, sf_dir)).select(LABEL)
+    return rounded(BalancedWeights().fit(rows).transform(rows).distinct())
+
+
 def imputed_scaled_numeric(spark, sf_dir):
     features = prepare.prepare_features(customers(spark, sf_dir))
     scaled = [f"{c}_scaled" for c in NUMERIC]
@@ -244,6 +253,10 @@ def held_out_predictions(spark, sf_dir):
     return logs.read_test_predictions(spark, path)
 
 
+def held_out_rows(spark, sf_dir):
+    return held_out_predictions(spark, sf_dir).select(ID, "y_true")
+
+
 def model_comparison(spark, sf_dir):
     path = fresh_path(spark, "results")
     logs.write_results(spark, path, trained(spark, sf_dir).summary)
@@ -252,27 +265,60 @@ def model_comparison(spark, sf_dir):
 
 
 def feature_importance(spark, sf_dir):
-    table = models.feature_importance(spark, trained(spark, sf_dir).model)
-    return models.top_features(table)
+    return models.feature_importance(spark, trained(spark, sf_dir).model)
+
+
+def top_features(spark, sf_dir):
+    return models.top_features(feature_importance(spark, sf_dir))
 
 
 # --- segments
 
 
 def kmeans_scores(spark, sf_dir):
-    return segments.kmeans_scores(segments.cluster_vectors(customers(spark, sf_dir), SIMPLE_FEATURES))
+    return segments.kmeans_scores(segments.cluster_vectors(customers(spark, sf_dir)))
+
+
+def _fitted_segments(spark, sf_dir, columns=None):
+    """The rows with their segments, and the explained variance; fitted once per application."""
 
+    def build():
+        vectors = segments.cluster_vectors(customers(spark, sf_dir), columns)
+        labelled, explained = segments.fit_segments(vectors)
+        return write_table(labelled, fresh_path(spark, "segments")), explained
 
-def _segments(spark, sf_dir):
-    return segments.fit_segments(segments.cluster_vectors(customers(spark, sf_dir)))[0]
+    return once(spark, sf_dir, f"segments {columns}", build)
 
 
 def pca_projection(spark, sf_dir):
-    return _segments(spark, sf_dir).select(ID, "segment", "pc1", "pc2")
+    return _fitted_segments(spark, sf_dir)[0].select(ID, "segment", "pc1", "pc2")
+
+
+def pca_explained_variance(spark, sf_dir):
+    shares = list(enumerate(_fitted_segments(spark, sf_dir)[1], 1))
+    return spark.createDataFrame(shares, "component int, share double")
 
 
 def segment_profiles(spark, sf_dir):
-    return segments.segment_profiles(_segments(spark, sf_dir))
+    return segments.segment_profiles(_fitted_segments(spark, sf_dir)[0])
+
+
+def simple_segment_profiles(spark, sf_dir):
+    return segments.segment_profiles(_fitted_segments(spark, sf_dir, SIMPLE_FEATURES)[0])
+
+
+def fixed_silhouette(spark, sf_dir):
+    """Silhouette of segments by tenure, on two plain features."""
+    points = VectorAssembler(inputCols=["tenure", "MonthlyCharges"], outputCol="features")
+    labelled = points.transform(_fixed_segments(spark, sf_dir).select("segment", "tenure", "MonthlyCharges"))
+    return rounded(spark.createDataFrame([(segments.silhouette(labelled),)], "silhouette double"))
+
+
+def dashboard_by_segment(spark, sf_dir):
+    """Headline figures of the customers of two fixed segments."""
+    table = scored(spark, sf_dir).withColumn("segment", (F.col("tenure") % 4).cast("int"))
+    filters = {"segment": [1, 2], "Contract": ["Two year", "One year"]}
+    return rounded(dashboards.dashboard(table, _cohorts(spark, sf_dir), filters, HORIZON, "Contract", START).kpis)
 
 
 def _fixed_segments(spark, sf_dir):
@@ -307,19 +353,32 @@ def price_moments(spark, sf_dir):
     return rounded(pricing.moments(pricing.bundles(pricing.pricing_data(customers(spark, sf_dir)))))
 
 
+def _price_model(spark, sf_dir):
+    def build():
+        return pricing.train_price_model(pricing.pricing_data(customers(spark, sf_dir)))
+
+    return once(spark, sf_dir, "price model", build)
+
+
 def price_list(spark, sf_dir):
-    model, _ = pricing.train_price_model(pricing.pricing_data(customers(spark, sf_dir)))
-    return rounded(pricing.price_list(spark, model))
+    return rounded(pricing.price_list(spark, _price_model(spark, sf_dir)[0]))
+
+
+def price_residuals(spark, sf_dir):
+    """(level, residual): what least squares leaves on average at each level of the training rows: nothing."""
+    data = pricing.split_pricing(pricing.pricing_data(customers(spark, sf_dir))).filter("part = 'train'")
+    left = data.withColumn("residual", F.col("MonthlyCharges") - _price_model(spark, sf_dir)[0].price())
+    return rounded(left.groupBy("InternetService").agg(F.avg("residual").alias("residual")), 4)
 
 
 def price_r2(spark, sf_dir):
-    return rounded(pricing.train_price_model(pricing.pricing_data(customers(spark, sf_dir)))[1])
+    return rounded(_price_model(spark, sf_dir)[1])
 
 
 def price_quotes(spark, sf_dir):
     table = customers(spark, sf_dir)
     observed = pricing.pricing_data(table)
-    model, _ = pricing.train_price_model(observed)
+    model, _ = _price_model(spark, sf_dir)
     quotes = pricing.price_quotes(table, model, observed)
     return rounded(quotes.select(ID, "manadspris", "extrapolated"))
 
@@ -348,7 +407,41 @@ def stream_scoring(spark, sf_dir):
         "2026-01-01T00:00:00",
     )
     query.awaitTermination()
-    return rounded(spark.read.parquet(sink).drop("customer_input"))
+    return rounded(spark.read.parquet(sink))
+
+
+def stream_model_scoring(spark, sf_dir):
+    """The stream scored with the trained model; equal to the batch scores."""
+    model, sink = trained(spark, sf_dir).model, fresh_path(spark, "stream_model_predictions")
+    query = score_stream(
+        spark,
+        customers_path(spark, sf_dir),
+        customers(spark, sf_dir).schema,
+        partial(models.predict_proba, model),
+        sink,
+        fresh_path(spark, "stream_checkpoint"),
+        0.5,
+        "2026-01-01T00:00:00",
+    )
+    query.awaitTermination()
+    return spark.read.parquet(sink).select(ID, PROBABILITY, "predicted_churn")
+
+
+def score_and_export(spark, sf_dir):
+    """CSV in, model scores, decision, rank, all columns out to CSV, read back."""
+    path = customer_source.export_csv(customers(spark, sf_dir).drop(TARGET), fresh_path(spark, "to_score"))
+    rows = customer_source.read_csv(spark, path)
+    ranked = models.rank_by_risk(models.score_batch(trained(spark, sf_dir).model, rows, 0.5))
+    out = customer_source.export_csv(ranked, fresh_path(spark, "scored_csv"))
+    back = customer_source.read_csv(spark, out)
+    return back.withColumns({PROBABILITY: F.col(PROBABILITY).cast("double"), "predicted_churn": F.col("predicted_churn").cast("int")})
+
+
+def unique_outcomes(spark, sf_dir):
+    """Outcomes with a probability of its own for nearly every customer, from a hash of the id."""
+    digits = F.substring(F.md5(ID), 1, 7)
+    p = F.conv(digits, 16, 10).cast("double") / float(1 << 28)
+    return outcomes(spark, sf_dir).select(ID, "y_true", p.alias(PROBABILITY))
 
 
 def flagship(spark, sf_dir):
@@ -409,6 +502,7 @@ QUERIES = {
     "roc_points": _on(outcomes, partial(metrics.roc_points, drop_collinear=False)),
     "roc_curve": _on(outcomes, metrics.roc_points),
     "classification_report": _on(outcomes, metrics.classification_report, THRESHOLD),
+    "balanced_weights": balanced_weights,
     "stratified_split": stratified_split,
     "cv_folds": cv_folds,
     "class_weights": class_weights,
@@ -416,11 +510,17 @@ QUERIES = {
     "onehot_long": onehot_long,
     "model_scores": model_scores,
     "held_out_predictions": held_out_predictions,
+    "held_out_rows": held_out_rows,
     "model_comparison": model_comparison,
     "feature_importance": feature_importance,
+    "top_features": top_features,
     "kmeans_scores": kmeans_scores,
     "pca_projection": pca_projection,
+    "pca_explained_variance": pca_explained_variance,
     "segment_profiles": segment_profiles,
+    "simple_segment_profiles": simple_segment_profiles,
+    "fixed_silhouette": fixed_silhouette,
+    "dashboard_by_segment": dashboard_by_segment,
     "segment_profiles_fixed": segment_profiles_fixed,
     "extreme_segments": extreme_segments,
     "pricing_split": pricing_split,
@@ -428,8 +528,14 @@ QUERIES = {
     "price_gramian": price_gramian,
     "price_moments": price_moments,
     "price_list": price_list,
+    "price_residuals": price_residuals,
     "price_r2": price_r2,
     "price_quotes": price_quotes,
     "unseen_bundles": unseen_bundles,
     "stream_scoring": stream_scoring,
+    "stream_model_scoring": stream_model_scoring,
+    "score_and_export": score_and_export,
+    "unique_metrics": _on(unique_outcomes, metrics.compute_metrics, 0.5),
+    "unique_roc_auc": _on(unique_outcomes, metrics.roc_auc),
+    "unique_roc_points": _on(unique_outcomes, partial(metrics.roc_points, drop_collinear=False)),
 }

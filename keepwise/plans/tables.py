@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
-from keepwise.operators.models import Candidate, candidates
 from keepwise.operators.prepare import with_churn_flag
 from keepwise.plans.training import Training, train
 from keepwise.schema import PROBABILITY
-from keepwise.session import join_small, table_path, write_table
+from keepwise.session import table_path, write_table
 from keepwise.sources.subscribers import subscribers
 
 RATE_KEYS = ["Contract", "PaymentMethod"]
@@ -47,7 +46,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_group_rate(df: DataFrame, observed: DataFrame) -> DataFrame:
     """Probability = churn share of the customer's contract and payment method."""
     rates = observed.groupBy(*RATE_KEYS).agg(F.avg(X.churn_flag()).alias(PROBABILITY))
-    return join_small(df, rates, RATE_KEYS)
+    return df.join(rates, RATE_KEYS, "left")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,15 +65,5 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("customerID", F.col("churn_flag").cast("int").alias("y_true"), PROBABILITY)
 
 
-def small_grids() -> list[Candidate]:
-    """The three families on short grids; the full grids are in models.candidates()."""
-    short = [
-        {"C": [0.1, 1]},
-        {"max_depth": [5], "min_samples_split": [20, 50]},
-        {"n_estimators": [20], "max_depth": [5], "max_features": ["sqrt"], "min_samples_split": [2, 20]},
-    ]
-    return [Candidate(f.name, f.build, grid) for f, grid in zip(candidates(), short, strict=True)]
-
-
 def trained(spark: SparkSession, sf_dir: str) -> Training:
-    return once(spark, sf_dir, "trained", lambda: train(customers(spark, sf_dir), small_grids()))
+    return once(spark, sf_dir, "trained", lambda: train(customers(spark, sf_dir)))

@@ -1,4 +1,4 @@
-"""Session settings, the shared folder for written intermediate tables, and checked broadcasts."""
+"""Session settings, the shared folder for written intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
 # Rows that parallel fits may hold in memory together, each fit keeping a copy of its own.
 ROWS_IN_FLIGHT = 50_000_000
 
@@ -61,20 +59,9 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(
-    left: DataFrame, right: DataFrame, on, how: str = "left", max_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """Join a grouped result back to the table.
+def fits_at_once(rows: int, most: int) -> int:
+    """How many fits over ``rows`` rows to run side by side: many when small, one when large.
 
-    The right side is fetched once and broadcast while it has at most ``max_rows`` rows;
-    a larger one is joined by shuffle, where adaptive execution splits skewed partitions.
+    Only the scheduling depends on it; every fit sees the same rows either way.
     """
-    head = right.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        right = F.broadcast(left.sparkSession.createDataFrame(head, schema=right.schema))
-    return left.join(right, on, how)
-
-
-def fits_at_once(rows: int, most: int) -> int:
-    """How many fits over ``rows`` rows to run side by side: many when small, one when large."""
     return max(1, min(most, ROWS_IN_FLIGHT // max(rows, 1)))

@@ -66,8 +66,11 @@ def prediction_rows(scored: DataFrame, threshold: float, created_at: str | None
     """The log rows of a scored table: inputs as JSON, probability, threshold and decision."""
     require_columns(scored, ID, PROBABILITY)
     inputs = [F.col(c) for c in RAW_FEATURES if c in scored.columns]
+    # In a stream every micro-batch has its own time.
+    clock = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = F.lit(created_at) if created_at else clock
     return scored.select(
-        F.lit(created_at or now()).alias("created_at"),
+        stamp.alias("created_at"),
         ID,
         F.to_json(F.struct(*inputs)).alias("customer_input"),
         F.col(PROBABILITY).cast("double").alias(PROBABILITY),
@@ -99,7 +102,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(RESULTS_SCHEMA).option("multiLine", True).json(path)
     except AnalysisException as error:
-        raise FileNotFoundError(f"no results at {path}; run the training plan first") from error
+        raise FileNotFoundError(f"no results document at {path}") from error
 
 
 def model_comparison(results: DataFrame) -> DataFrame:

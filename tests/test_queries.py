@@ -9,11 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from keepwise.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-# Model fits with long searches; their operators have tests of their own.
-SLOW = {"kmeans_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +44,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 3
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

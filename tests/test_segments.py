@@ -30,7 +30,7 @@ def test_simple_vectors_are_standardised(raw):
 
 
 def brute_silhouette(x, labels):
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     out = []
     for i, own in enumerate(labels):
         same = [j for j, c in enumerate(labels) if c == own and j != i]
