@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import awkward
+from awkward import awkward, documents, nothing  # noqa: F401
 from tokenizers import Tokenizer
 
 from keepwise.llm import bpe, license_scan, mixing, near_dup, quality, substring_dedup

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from awkward import documents  # noqa: F401
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
