@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
-    return bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
 
 
 STAGES = [

@@ -5,10 +5,12 @@ belongs to the word after it. The tokenizer never merges across such a place, so
 one by one. Texts of added tokens are words of their own.
 
 1. Documents are written as a bucketed table of chunks (see ``chunks``).
-2. Each chunk sends its distinct words, packed by hash, to the word partitions.
-3. A word partition encodes each of its distinct words once and answers every request with the ids, in
+2. The words that are frequent in a bounded sample are encoded once, up front, and broadcast (at most
+   ``FREQUENT`` words of ``FREQUENT_CHARS`` characters). They only save traffic.
+3. Each chunk sends its other distinct words, packed by hash, to the word partitions.
+4. A word partition encodes each of its distinct words once and answers every request with the ids, in
    the order asked.
-4. Each chunk gets its answers and joins the ids back by position.
+5. Each chunk gets its answers and joins the ids back by position.
 
 Nothing is broadcast that grows with the data, the words of a partition are bounded by the number of
 partitions, and a common word is asked for once per chunk, however often it stands there. Decoding
@@ -34,7 +36,11 @@ from keepwise.llm.chunks import chunked
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # A space before anything but white space; what Python and the tokenizer may see differently stays inside.
 CUT = re.compile(r" (?=[!-~¡-῿])")
-CACHE = 300_000
+CHUNK_ROWS = 1000
+SLICE_ROWS = 200  # rows decoded at once
+FREQUENT = 100_000  # words encoded up front and known to all tasks
+FREQUENT_CHARS = 32  # longest of them
+SAMPLE_ROWS = 6000  # rows they are counted in
 
 
 def load(path: str):
@@ -84,7 +90,7 @@ def _pack(words: list[str]) -> bytes:
     import zstandard
 
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    return zstandard.compress(np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw), 1)
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw), 6)
 
 
 def _unpack(blob: bytes) -> list[str]:
@@ -100,7 +106,28 @@ def _unpack(blob: bytes) -> list[str]:
 REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
 
-def _ask(partitions: int, added: list[str]):
+def frequent_words(docs: DataFrame, text: str, path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Number of each frequent word, the words' id counts and all their ids; the same for every input size."""
+    added = list(added_tokens(path))
+
+    def count(batches):
+        from collections import Counter
+
+        split, seen = splitter(added), Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(w for w in split(t.as_py() or "") if len(w) <= FREQUENT_CHARS)
+        words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    sample = docs.select(F.col(f"`{text}`")).limit(SAMPLE_ROWS).coalesce(1)
+    words = [r.word for r in sample.mapInArrow(count, "word string").collect()]
+    ids = [e.ids for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
+    flat = np.array([i for e in ids for i in e], np.int32)
+    return {w: i for i, w in enumerate(words)}, np.array([len(e) for e in ids], np.int32), flat
+
+
+def _ask(partitions: int, added: list[str], frequent):
     """The requests of one chunk: (part, chunk, words)."""
 
     def run(docs: pa.Table) -> pa.Table:
@@ -108,7 +135,7 @@ def _ask(partitions: int, added: list[str]):
         for text in docs["text__"]:
             words.update(split(text.as_py() or ""))
         chunk = docs["chunk"][0].as_py()
-        asked = _by_partition(words, partitions)
+        asked = _by_partition(words.difference(frequent.value[0]), partitions)
         return pa.table([list(asked), [chunk] * len(asked), [_pack(w) for w in asked.values()]], schema=REQUEST)
 
     return run
@@ -136,7 +163,7 @@ def _answer(path: str):
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 # Bytes of equal weight side by side compress well.
                 planes = flat.view(np.uint8).reshape(-1, 4).T.tobytes()
-                blobs.append(zstandard.compress(sizes.tobytes() + planes, 1))
+                blobs.append(zstandard.compress(sizes.tobytes() + planes, 3))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["part", "chunk", "ids"]
             )
@@ -153,52 +180,72 @@ def _read_answer(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def _join_back(partitions: int, added: list[str]):
-    """Ids of every document of one chunk, from the answers to its distinct words."""
+def _join_back(partitions: int, added: list[str], frequent, pieces_):
+    """Ids of every document of one chunk, from the answers to its distinct words; decoded where asked."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.sort_by("row")
         split = splitter(added)
-        words = [split(t or "") for t in docs["text__"].to_pylist()]
-        asked = _by_partition({w for ws in words for w in ws}, partitions)
-        place, sizes, flat = {}, [], []
+        known, *first = frequent.value
+        # Split twice rather than keep a million words.
+        rare: set[str] = set()
+        for t in docs["text__"]:
+            rare.update(split(t.as_py() or ""))
+        rare.difference_update(known)
+        asked = _by_partition(rare, partitions)
+        place, sizes, flat = dict(known), [first[0]], [first[1]]
         got = dict(zip(answers["part"].to_pylist(), answers["ids"].to_pylist(), strict=True)) if asked else {}
         for part, own in asked.items():
             n, ids = _read_answer(got[part], len(own))
             place.update(zip(own, range(len(place), len(place) + len(own)), strict=True))
             sizes.append(n)
             flat.append(ids)
-        sizes = np.concatenate([np.empty(0, np.int64), *sizes]).astype(np.int64)
-        flat = np.concatenate([np.empty(0, np.int32), *flat])
+        sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.fromiter((place[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        places = [np.fromiter(map(place.__getitem__, split(t.as_py() or "")), np.int64) for t in docs["text__"]]
+        counts = [len(p) for p in places]
+        at = np.concatenate(places)
         # Take the range of each word's ids, one after the other.
         n = sizes[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         take = np.arange(total) + np.repeat(starts[at] - (ends - n), n)
-        word_ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        word_ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
         lists = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), pa.array(flat[take], pa.int32()))
-        return pa.table([docs["rest"], lists], names=["rest", "ids"])
+        columns = {"rest": docs["rest"], "ids": lists}
+        if pieces_ is not None:
+            table = pa.array(pieces_.value, pa.binary())
+            parts = [_text_of(lists.slice(lo, SLICE_ROWS), table) for lo in range(0, len(lists), SLICE_ROWS)]
+            columns["decoded"] = pa.chunked_array(parts, pa.string())
+        return pa.table(columns)
 
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """The documents without their text but with ``ids``; a column of that name is replaced."""
+def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, decoded: bool = False) -> DataFrame:
+    """The documents without their text but with ``ids``; a column of that name is replaced.
+
+    ``decoded`` adds the text the ids decode to, in the tasks that join them back (replacing a column
+    of that name); ``decode`` does the same for ids that are stored.
+    """
     spark = docs.sparkSession
     partitions, added = int(spark.conf.get("spark.sql.shuffle.partitions")), list(added_tokens(path))
     # Other columns travel as one, so that none of their names can clash.
-    others = [c for c in docs.columns if c not in (text, "ids")]
+    others = [c for c in docs.columns if c not in (text, "ids") and not (decoded and c == "decoded")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__none"))
-    table = chunked(docs.select(F.col(f"`{text}`").alias("text__"), rest.alias("rest")))
+    table = chunked(docs.select(F.col(f"`{text}`").alias("text__"), rest.alias("rest")), CHUNK_ROWS)
     asked = table.select("chunk", "text__").groupBy("chunk")  # the buckets: nothing is shuffled
-    requests = asked.applyInArrow(_ask(partitions, added), "part int, chunk long, words binary")
+    frequent = spark.sparkContext.broadcast(frequent_words(docs, text, path))
+    requests = asked.applyInArrow(_ask(partitions, added, frequent), "part int, chunk long, words binary")
     dealt = requests.repartition(partitions, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(_answer(path), "part int, chunk long, ids binary")
-    schema = T.StructType([table.schema["rest"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join_back(partitions, added), schema)
-    return done.select(*[F.col(f"rest.`{c}`") for c in others], "ids")
+    fields, known = [table.schema["rest"], T.StructField("ids", T.ArrayType(T.IntegerType()))], None
+    if decoded:
+        fields.append(T.StructField("decoded", T.StringType()))
+        known = spark.sparkContext.broadcast(pieces(path))  # the vocabulary: a bounded table
+    back = _join_back(partitions, added, frequent, known)
+    done = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, T.StructType(fields))
+    return done.select(*[F.col(f"rest.`{c}`") for c in others], *[f.name for f in fields[1:]])
 
 
 def pieces(path: str) -> list[bytes]:
@@ -215,6 +262,18 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def _text_of(lists: pa.Array, known: pa.Array) -> pa.Array:
+    """Join ids to pieces by position in the table of pieces, and pieces to texts."""
+    flat = known.take(lists.flatten())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0)
+    ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.as_py().decode("utf-8", "replace") for b in joined], pa.string())
+
+
 def decode(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """The rows with the text of their ids (replacing a column of that name); bytes that are not UTF-8 become replacement characters."""
     table = df.sparkSession.sparkContext.broadcast(pieces(path))  # the vocabulary: a bounded table
@@ -224,24 +283,18 @@ def decode(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str = V
 
     def run(batches):
         known = pa.array(table.value, pa.binary())
-        for batch in batches:
-            lists = batch.column(at)
-            flat = known.take(lists.flatten())
-            sizes = pc.fill_null(pc.list_value_length(lists), 0)
-            ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), b"")
-            try:
-                texts = joined.cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([b.as_py().decode("utf-8", "replace") for b in joined], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
+                texts = _text_of(batch.column(at), known)
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
 def op9(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Encode and decode every document, and digest both."""
-    done = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
+    done = encode(docs.select("doc_id", "text"), path=path, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

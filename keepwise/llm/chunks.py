@@ -29,5 +29,6 @@ def chunked(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     name = f"keepwise_chunks_{uuid.uuid4().hex}"
     # Each task writes its own few chunks, so there are few files and no shuffle.
     out = numbered.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", scratch_path(spark, name)).option("compression", "zstd")
+    out = out.option("parquet.compression.codec.zstd.level", "9")
     out.format("parquet").saveAsTable(name)
     return spark.table(name)
