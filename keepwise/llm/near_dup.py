@@ -257,7 +257,10 @@ def verified_parts(near: DataFrame, parts: DataFrame, classes: DataFrame, texts:
 
 
 def table_groups(classes: DataFrame, m: int) -> DataFrame:
-    """(table, id): the classes in the m * m tables, without those that share no partial key."""
+    """(table, first, id): the classes in the m * m tables, without those that share no partial key.
+
+    ``first`` is the partial key of the first collection, which m tables of a class have in common.
+    """
     keys = classes.select("id", F.posexplode("keys").alias("pos", "key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     first = F.col("pos") < m
@@ -266,11 +269,11 @@ def table_groups(classes: DataFrame, m: int) -> DataFrame:
     )
     # Groups here are the 2 * m keys of one class. Combine every pair of them.
     tensor = live.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y"))
-    return tensor.select(F.xxhash64("x", "y").alias("table"), "id")
+    return tensor.select(F.xxhash64("x", "y").alias("table"), F.col("x").alias("first"), "id")
 
 
 def open_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """(table, id, component, k): groups that still hold several components, with their size."""
+    """(table, first, id, component, k): groups that still hold several components, with their size."""
     placed = groups.join(found, "id", "left")
     part = F.coalesce("component", "id")
     several = placed.groupBy("table").agg(F.min(part).alias("lo"), F.max(part).alias("hi"), F.count("*").alias("k"))
@@ -312,21 +315,26 @@ def _plausible(least: int, percent: int):
         return np.unique(np.concatenate(out), axis=0)
 
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate([np.empty((0, 2), np.int64), *found])
+        both = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "part"])
 
     def run(batches):
-        at, rows = None, []
+        at, rows, out = None, [], []
         for batch in batches:
-            out = []
-            for table, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (table, x, y) != at:
+            done = []
+            for *key, x, y, i, part, home, weight, n, sketch, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (*key, x, y) != at:
                     if len(rows) > 1:
                         out.append(compare(rows))
-                    at, rows = (table, x, y), []
-                rows.append((*row, x != y))
-            yield pairs(out)
-        yield pairs([compare(rows)] if len(rows) > 1 else [])
+                    if at and key[0] != at[0]:
+                        done += out
+                        out = []
+                    at, rows = (*key, x, y), []
+                rows.append((i, part, home, weight, n, sketch, own, x != y))
+            yield pairs(done)
+        if len(rows) > 1:
+            out.append(compare(rows))
+        yield pairs(out)
 
     return run
 
@@ -339,9 +347,10 @@ def open_pairs(rest: DataFrame, classes: DataFrame, parts: DataFrame, m: int, pe
     weights = parts.groupBy("part").agg(F.count("*").alias("weight"))
     known = classes.select("id", F.col("n_shingles").alias("n"), "sketch").join(parts, "id").join(weights, "part")
     rows = rows.join(known, "id").withColumn("component", F.coalesce("component", "id"))
+    # Tables with a partial key in common come to one task, which names each (x, part) of them once.
     x, y = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-    dealt = rows.select("table", x, y, "id", "component", "part", "weight", "n", "sketch", "own").repartition("table", "x", "y")
-    ordered = dealt.sortWithinPartitions("table", "x", "y")
+    dealt = rows.select("first", "table", x, y, "id", "component", "part", "weight", "n", "sketch", "own").repartition("first", "x", "y")
+    ordered = dealt.sortWithinPartitions("first", "table", "x", "y")
     return ordered.mapInArrow(_plausible(least_alike(m, percent), percent), "x long, part long").distinct()
 
 
