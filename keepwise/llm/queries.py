@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from keepwise.llm import bpe, chat, exact_topk, hilbert_ann, license_scan, mixing, near_dup, quality, substring_dedup, warc
+from keepwise.llm import (
+    bpe,
+    chat,
+    exact_topk,
+    hilbert_ann,
+    license_scan,
+    mixing,
+    near_dup,
+    oracle,
+    quality,
+    substring_dedup,
+    warc,
+)
 from keepwise.llm.common import table
 
 
@@ -58,4 +70,10 @@ QUERIES = {
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
 }
-ORACLE: dict[str, str] = {"op4_block_topk": exact_topk.ORACLE, "op5_chat_format": chat.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_tensored_minhash": oracle.NEAR_DUPLICATES,
+    "op3_warc_revisits": oracle.REVISITS,
+    "op4_block_topk": exact_topk.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op6_block_anchors": oracle.REPEATED_PASSAGES,
+}
