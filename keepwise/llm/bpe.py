@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwise.llm.chunks import chunked
+from keepwise.llm.chunks import PARTITION_BITS, chunked
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # A space before anything but white space; what Python and the tokenizer may see differently stays inside.
@@ -40,7 +40,7 @@ CHUNK_ROWS = 1000
 SLICE_ROWS = 200  # rows decoded at once
 FREQUENT = 100_000  # words encoded up front and known to all tasks
 FREQUENT_CHARS = 32  # longest of them
-SAMPLE_ROWS = 6000  # rows they are counted in
+SAMPLE_CHUNKS = 6  # chunks they are counted in
 
 
 def load(path: str):
@@ -106,7 +106,7 @@ def _unpack(blob: bytes) -> list[str]:
 REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
 
-def frequent_words(docs: DataFrame, text: str, path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+def frequent_words(table: DataFrame, path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Number of each frequent word, the words' id counts and all their ids; the same for every input size."""
     added = list(added_tokens(path))
 
@@ -117,11 +117,12 @@ def frequent_words(docs: DataFrame, text: str, path: str) -> tuple[dict[str, int
         for batch in batches:
             for t in batch.column(0):
                 seen.update(w for w in split(t.as_py() or "") if len(w) <= FREQUENT_CHARS)
-        words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    sample = docs.select(F.col(f"`{text}`")).limit(SAMPLE_ROWS).coalesce(1)
-    words = [r.word for r in sample.mapInArrow(count, "word string").collect()]
+    # The first chunks of the first input partitions: the filter prunes buckets and row groups.
+    sample = table.filter(F.col("chunk").isin([p << PARTITION_BITS for p in range(SAMPLE_CHUNKS)])).select("text__")
+    counted = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     ids = [e.ids for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
     flat = np.array([i for e in ids for i in e], np.int32)
     return {w: i for i, w in enumerate(words)}, np.array([len(e) for e in ids], np.int32), flat
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, decoded:
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__none"))
     table = chunked(docs.select(F.col(f"`{text}`").alias("text__"), rest.alias("rest")), CHUNK_ROWS)
     asked = table.select("chunk", "text__").groupBy("chunk")  # the buckets: nothing is shuffled
-    frequent = spark.sparkContext.broadcast(frequent_words(docs, text, path))
+    frequent = spark.sparkContext.broadcast(frequent_words(table, path))
     requests = asked.applyInArrow(_ask(partitions, added, frequent), "part int, chunk long, words binary")
     dealt = requests.repartition(partitions, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(_answer(path), "part int, chunk long, ids binary")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from keepwise.llm.common import scratch_path
 
 CHUNK_ROWS = 2000
+PARTITION_BITS = 22  # chunk numbers per input partition
 
 
 def chunked(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -24,7 +25,7 @@ def chunked(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     # The upper bits are the partition, the lower 33 the position in it.
     position = F.col("row").bitwiseAND((1 << 33) - 1)
-    numbered = numbered.withColumn("chunk", F.shiftright("row", 33) * (1 << 22) + F.floor(position / rows).cast("long"))
+    numbered = numbered.withColumn("chunk", F.shiftright("row", 33) * (1 << PARTITION_BITS) + F.floor(position / rows).cast("long"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     name = f"keepwise_chunks_{uuid.uuid4().hex}"
     # Each task writes its own few chunks, so there are few files and no shuffle.
