@@ -10,7 +10,11 @@ Escaping: a run ``<``, any number of backslashes, ``|`` gets one more backslash;
 undoes it. Afterwards no text contains ``<|``, which starts every marker. In roles ``%`` and line ends
 are percent-encoded as well, since a line end closes the role.
 
-A record is one row, so it must fit in one (2 GB at most); everything else is spread by rows.
+A record is one row, so it must fit in one (2 GB at most); everything else is spread by rows. Spark's
+variants end at 128 MiB and their strings at 20,000,000 characters. A record beyond that is recognised by
+its skeleton (strings emptied, equal neighbours in lists named once), which is small, and its texts are
+read by a struct schema without those limits; numbers in place of texts then stay as written. A skeleton
+that is itself too large to parse is an error, never a null.
 
 Defined results: null texts and roles are empty; turns are ordered by turn (nulls first), then role and
 text, so ties and repeated rows have one order; records of an unknown layout keep null turns and
@@ -26,6 +30,9 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+UNLIMITED = {"maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1)}
+SKELETON_BYTES = 2**24  # a skeleton up to this size is parsed whatever it holds
+STRING_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,15 @@ def paths(value: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(value), r": [A-Z_]+(\([0-9, ]+\))?(?=[,>])", "")
 
 
+def _turns(m: Mapping, items: Column) -> Column:
+    def turn(t: Column) -> Column:
+        role = F.coalesce(t[m.role], F.lit(""))
+        named = F.coalesce(*[F.when(role == old, F.lit(new)) for old, new in m.roles], role)
+        return F.struct(named.alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text"))
+
+    return F.transform(items, turn)
+
+
 def _read(m: Mapping, value: Column) -> Column:
     if m.items is None:
         made = [
@@ -85,23 +101,50 @@ def _read(m: Mapping, value: Column) -> Column:
         ]
         return F.array(*made)
 
-    def turn(t: Column) -> Column:
-        role = F.coalesce(t[m.role], F.lit(""))
-        named = F.coalesce(*[F.when(role == old, F.lit(new)) for old, new in m.roles], role)
-        return F.struct(named.alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text"))
+    return _turns(m, F.variant_get(value, m.items, f"array<struct<`{m.role}`:string,`{m.text}`:string>>"))
+
+
+def _skeleton(record: Column) -> Column:
+    """The record with strings that are not keys emptied and repeats of a flat object after itself left out."""
+    empty = F.regexp_replace(record, rf'(?s)("{STRING_BODY}"\s*+:)|("){STRING_BODY}(")', "$1$2$3")
+    return F.regexp_replace(empty, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
 
-    return F.transform(F.variant_get(value, m.items, f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), turn)
+def _parsed_skeleton(skeleton: Column) -> Column:
+    unknown = F.raise_error(F.lit("a record is too large to tell its layout")).cast("variant")
+    parsed = F.try_parse_json(skeleton)
+    return F.when(parsed.isNull() & (F.octet_length(skeleton) > SKELETON_BYTES), unknown).otherwise(parsed)
+
+
+def _read_large(m: Mapping, record: Column) -> Column:
+    """As ``_read``, from the text of the record and with no limit but that of a row."""
+    path = m.items or ""
+    schema = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
+    if m.items is None:
+        schema = f"struct<{','.join(f'`{p[2:]}`:string' for _, p in m.fields)}>"
+    for step in reversed(path.split(".")[1:]):
+        schema = f"struct<`{step}`:{schema}>"
+    value = F.from_json(record, schema, UNLIMITED | {"mode": "FAILFAST"})
+    if m.items is None:
+        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(value[p[2:]], F.lit("")).alias("text")) for role, p in m.fields])
+    for step in path.split(".")[1:]:
+        value = value[step]
+    return _turns(m, value)
 
 
 def to_turns(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
     """The records with ``layout`` and ``turns``; both null where no mapping has the fingerprint."""
-    tagged = records.withColumn("__v", F.try_parse_json(record)).withColumn("__f", F.xxhash64(paths(F.col("__v"))))
+    v, skeleton = F.col("__v"), F.col("__s")
+    tagged = records.withColumn("__v", F.try_parse_json(record))
+    tagged = tagged.withColumn("__s", F.when(v.isNull(), _skeleton(F.col(record))))
+    tagged = tagged.withColumn("__f", F.xxhash64(F.coalesce(paths(v), paths(_parsed_skeleton(skeleton)))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         chosen = F.col("__f") == F.xxhash64(F.lit(m.shape))
         layout = F.when(chosen, F.lit(m.name)).otherwise(layout)
-        turns = F.when(chosen, _read(m, F.col("__v"))).otherwise(turns)
-    return tagged.withColumn("layout", layout).withColumn("turns", turns).drop("__v", "__f")
+        read = F.when(v.isNotNull(), _read(m, v)).otherwise(_read_large(m, F.col(record)))
+        turns = F.when(chosen, read).otherwise(turns)
+    return tagged.withColumn("layout", layout).withColumn("turns", turns).drop("__v", "__s", "__f")
 
 
 def escape(text: Column) -> Column:

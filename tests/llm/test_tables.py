@@ -181,6 +181,43 @@ def test_conversations_round_trip(spark):
     assert back.filter(~F.col("turns").eqNullSafe(F.col("back"))).count() == 0
 
 
+def test_long_texts_and_conversations_stay_whole(spark):
+    """Above 20,000,000 characters in a text, and above 128 MiB in a conversation."""
+    sizes = [(1, 0, "user", 'a\\"<|', 5_100_000), (1, 1, "assistant", "b", 3)]
+    sizes += [(2, t, ["user", "assistant"][t % 2], 'c{"x":', 170_000) for t in range(140)]
+    df = spark.createDataFrame(sizes, "conv_id long, turn long, role string, piece string, n int")
+    df = df.withColumn("text", F.expr("repeat(piece, n)"))
+    found = {r.conv_id: r for r in chat.op5(df).collect()}
+    for i in (1, 2):
+        turns = [(role, piece * n) for c, _, role, piece, n in sizes if c == i]
+        said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        loss = "".join(text for role, text in turns if role == "assistant")
+        size = sum(24 + len(role) + len(text) + text.count("<|") for role, text in turns)
+        expected = (i, len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), size)
+        assert tuple(found[i]) == expected
+
+
+def test_large_records_of_every_layout(spark):
+    """A text no variant can hold, in each layout and in none."""
+    short = [
+        {"messages": [{"role": "user", "content": "L"}, {"content": None, "role": "bot"}]},
+        {"data": {"messages": [{"role": "system", "content": "L"}]}},
+        {"conversations": [{"from": "human", "value": "a \\\"{"}, {"from": "gpt", "value": "L"}]},
+        {"turns": [{"role": "r", "text": "L"}]},
+        {"instruction": "a", "input": None, "output": "L"},
+        {"messages": [{"role": "user", "content": "L", "more": "x"}]},
+        {"prompt": {"response": "L"}},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(short)] + [(7, '{"prompt": "L", "response": ')]
+    df = spark.createDataFrame(rows, "id int, record string")
+    large = df.withColumn("record", F.expr("replace(record, '\"L\"', concat('\"', repeat('y', 20100000), '\"'))"))
+    small = {r.id: r for r in chat.to_turns(df).collect()}
+    cut = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["text"], "^y{20100000}$", "L").alias("text")))
+    found = {r.id: r for r in chat.to_turns(large).select("id", "layout", cut.alias("turns")).collect()}
+    assert {i: (r.layout, r.turns) for i, r in found.items()} == {i: (r.layout, r.turns) for i, r in small.items()}
+    assert [found[i].layout for i in (5, 6, 7)] == [None] * 3 and all(found[i].layout for i in range(5))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
