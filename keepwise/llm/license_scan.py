@@ -4,10 +4,12 @@ Every run of ``GRAM`` words of every document is hashed and joined to the same r
 templates. A hit at word i of the document and word j of the template votes for the diagonal i - j. A
 diagonal with all votes of a template is a place where the template stands word for word; that is how
 the base phrases are found. For longer notices neighbouring diagonals (words left out or put in) are
-merged, and a notice counts when the merged span covers enough of the template.
+merged, and a notice counts when the merged span covers enough of the template's words. One changed word
+takes away up to GRAM runs, and the words between it and a close end or another change go with them; so
+spans that fall short by this much at most are verified: the words on their diagonals are compared.
 
 Votes of a diagonal are a bit mask of template positions, so hits fold to one short row where they are
-read; templates have at most 63 + GRAM - 1 words. Template runs number a few hundred whatever the
+read; templates have at most 63 + GRAM - 1 words. The score stays the share of runs. Template runs number a few hundred whatever the
 input, so their broadcast is bounded by the parameter.
 
 Defined results: null and empty texts have no words and no labels (empty strings, score 0, first and
@@ -22,10 +24,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwise.llm.common import ascii_lower
+from keepwise.llm.common import ascii_lower, stored
 
 GRAM = 3
-COVER = 0.8  # share of a notice's word runs that must be found
+COVER = 0.8  # share of a notice's words that must be found
 GAP = 4  # diagonals this close belong to one span
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,26 +96,62 @@ def votes(docs: DataFrame, keys: list[str], text: str = "text", **templates_) ->
 
 
 def spans(voted: DataFrame, keys: list[str], gap: int = GAP) -> DataFrame:
-    """Neighbouring diagonals merged: (keys, template, label, base, n_runs, start, mask)."""
+    """Neighbouring diagonals merged: (keys, template, label, base, n_runs, start, mask, diagonals)."""
     one = Window.partitionBy(*keys, "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one) > gap, F.lit(True))
     marked = voted.withColumn("span", F.sum(far.cast("int")).over(one))
     return marked.groupBy(*keys, "template", "label", "base", "n_runs", "span").agg(
-        F.min("diagonal").alias("start"), F.bit_or("mask").alias("mask")
+        F.min("diagonal").alias("start"), F.bit_or("mask").alias("mask"), F.collect_set("diagonal").alias("diagonals")
     )
 
 
+def words_covered(mask: Column) -> Column:
+    """Number of template words in the runs of a mask; words from the 65th on have a mask of their own."""
+    low, high = mask, F.lit(0).cast("long")
+    for shift in range(1, GRAM):
+        low = low.bitwiseOR(F.shiftleft(mask, shift))
+        high = high.bitwiseOR(F.shiftrightunsigned(mask, 64 - shift))
+    return F.bit_count(low) + F.bit_count(high)
+
+
+def verified(docs: DataFrame, unclear: DataFrame, keys: list[str], text: str = "text", **templates_) -> DataFrame:
+    """(keys, template, span, same): the template words that stand on the diagonals of the spans ``unclear``."""
+    known = F.broadcast(templates(docs.sparkSession, **templates_).select("template", F.col("words").alias("wanted")))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"u.{k}"))
+    asked = docs.alias("d").join(unclear.join(known, "template").alias("u"), on)
+    asked = asked.select(*[f"u.{k}" for k in keys], "u.template", "u.span", "u.wanted", "u.diagonals", words_of(F.col(f"d.{text}")).alias("w"))
+
+    def there(word: Column, j: Column) -> Column:
+        return F.exists("diagonals", lambda d: F.coalesce(F.get(F.col("w"), (d + j).cast("int")) == word, F.lit(False)))
+
+    at = F.transform("wanted", lambda word, j: there(word, j))
+    return asked.withColumn("same", F.size(F.filter(at, lambda x: x))).groupBy(*keys, "template", "span").agg(F.max("same").alias("same"))
+
+
 def scan(docs: DataFrame, text: str = "text", cover: float = COVER, **templates_) -> DataFrame:
     """The documents' ids with word counts, base places, labels and score."""
     key = ["doc_id", "hash"]
     keyed = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     counted = keyed.select(*key, F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     # Equal rows vote for the same bits, so copies change nothing.
-    voted = votes(keyed, key, **templates_)
+    voted = stored(votes(keyed, key, **templates_), "votes")
     # Base phrases count on single diagonals, notices on merged ones.
-    base = voted.filter("base").withColumnRenamed("diagonal", "start")
-    notices = spans(voted.filter(~F.col("base")), key)
-    placed = base.unionByName(notices.drop("span"))
+    base = voted.filter("base").withColumnRenamed("diagonal", "start").withColumn("named", F.lit(False))
+    share = words_covered(F.col("mask")) / (F.col("n_runs") + GRAM - 1)
+    merged = spans(voted.filter(~F.col("base")), key).withColumn("share", share)
+    # Each missing word takes GRAM words away at most.
+    unclear = merged.filter((F.col("share") < cover) & (F.col("share") >= 1 - GRAM * (1 - cover) - 1e-9))
+    unclear = stored(unclear.select(*key, "template", "span", "diagonals"), "unclear")
+    same = verified(keyed, unclear, key, **templates_)
+    on = (F.col("m.template") == F.col("v.template")) & (F.col("m.span") == F.col("v.span"))
+    for k in key:
+        on = on & F.col(f"m.{k}").eqNullSafe(F.col(f"v.{k}"))
+    counted_words = F.coalesce(F.col("v.same") / (F.col("m.n_runs") + GRAM - 1), F.lit(0.0))
+    named = (F.greatest(F.col("m.share"), counted_words) >= cover).alias("named")
+    notices = merged.alias("m").join(same.alias("v"), on, "left").select(*[f"m.{c}" for c in base.columns if c != "named"], named)
+    placed = base.unionByName(notices)
     covered = F.bit_count("mask") / F.col("n_runs")
     full = F.col("base") & (covered == 1)
     found = placed.groupBy(*key).agg(
@@ -121,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", cover: float = COVER, **templates_
         F.min(F.when(full, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(full, F.col("start"))).cast("long").alias("last_word"),
         F.collect_set(F.when(full, F.col("label"))).alias("base_set"),
-        F.collect_set(F.when(~F.col("base") & (covered >= cover), F.col("label"))).alias("more_set"),
+        F.collect_set(F.when(F.col("named"), F.col("label"))).alias("more_set"),
         F.max(covered).alias("score"),
     )
     same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("c.hash").eqNullSafe(F.col("f.hash"))

@@ -165,6 +165,30 @@ def test_a_notice_with_changes_is_found(spark):
     assert found[0].score == 1.0 and 0.8 <= found[1].score < 1 and found[2].score < 0.6
 
 
+def test_notices_with_changed_words_are_found(spark):
+    """Any one word changed, and every third as far as a fifth of the words; one more change is too many."""
+    texts, expected = [], []
+    for text, label in license_scan.NOTICES:
+        notice = text.split()
+        most = int(0.2 * len(notice))
+        changes = [{p} for p in range(len(notice))] + [{2 + 3 * c for c in range(n)} for n in (most, most + 1)]
+        for gone in changes:
+            texts.append(" ".join(["x", *("other" if p in gone else w for p, w in enumerate(notice)), "y"]))
+            expected.append(label if len(gone) <= most else "")
+    rows = [*enumerate(texts), (None, texts[2]), (None, texts[2]), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = license_scan.scan(df).collect()
+    assert len(found) == len(rows)
+    labels = {r.doc_id: r.labels for r in found}
+    assert [labels[i] for i in range(len(texts))] == expected and labels[None] == expected[2]
+
+
+def test_words_of_the_longest_template(spark):
+    masks = [(1 << 62) | (1 << 61), 1, (1 << 63) - 1, 0b1001, 0]
+    df = spark.createDataFrame([(m,) for m in masks], "mask long")
+    assert [r.n for r in df.select(license_scan.words_covered(df.mask).alias("n")).collect()] == [4, 3, 65, 6, 0]
+
+
 # --- quality
 
 
