@@ -13,8 +13,9 @@ the summed term maxima, weight by weight with the sign that counts, bound every
    since ties go to the smaller id.
 3. The k best of every group are merged per query.
 
-A query set against all rows is the job here; queries are copied once per group of ``GROUP`` blocks, in
-blocks of ``QUERIES``, and no pair of vectors becomes a row.
+A query set against all rows is the job here; queries are packed in blocks of ``QUERIES`` and dealt by hash to
+batches of about ``BATCH`` such blocks. Each batch is copied once per group of blocks and each group once
+per batch, so a task holds one group and one batch, and no pair of vectors becomes a row.
 
 Defined results: vectors without id, null, empty, or with null or non-finite components take no part;
 shorter vectors end in zeros; a repeated row counts once, and rows that share an id are candidates of
@@ -35,6 +36,7 @@ from keepwise.llm.vectors import QUERY_EVERY, best, matrix, ranked, usable, wide
 BLOCK = 256
 GROUP = 16  # blocks in a group
 QUERIES = 256  # queries in a query block
+BATCH = 16  # query blocks that meet a group of blocks at once
 FIRST = 4  # blocks a query scores before its threshold is fixed
 TOP = 5
 SCALE = 256
@@ -165,9 +167,15 @@ def _packed(queries: DataFrame) -> DataFrame:
     return queries.select("id", "v", "threshold").mapInArrow(_pack_queries, "ids binary, m binary, thresholds binary")
 
 
-def _dealt(queries: DataFrame, groups: int) -> DataFrame:
-    """The query blocks, once for each of the numbered groups."""
-    return _packed(queries).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+def _meet(queries: DataFrame, blocks: DataFrame, groups: int, run, schema: str) -> DataFrame:
+    """``run`` on each batch of query blocks with each of the numbered groups of ``blocks``."""
+    packed = stored(_packed(queries), "queries")
+    batches = max(-(-packed.count() // BATCH), 1)
+    # Rows may share an id, but not its vector as well.
+    dealt = packed.withColumn("batch", F.pmod(F.xxhash64("ids", "m"), F.lit(batches)).cast("int"))
+    asked = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    copies = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    return asked.groupBy("group", "batch").cogroup(copies.groupBy("group", "batch")).applyInArrow(run, schema)
 
 
 def _bounded(queries: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -193,8 +201,8 @@ def thresholds(queries: DataFrame, blocks: DataFrame, n_blocks: int, k: int) ->
     """The queries with the k-th best score of their most promising blocks, or minus infinity."""
     groups = -(-n_blocks // (GROUP * BLOCK))
     summaries = blocks.select("block", "top", "low", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"))
-    asked = _dealt(queries.withColumn("threshold", F.lit(float("-inf"))), groups).groupBy("group")
-    bounds = asked.cogroup(summaries.groupBy("group")).applyInArrow(_bounded, "id long, block long, bound double")
+    asked = queries.withColumn("threshold", F.lit(float("-inf")))
+    bounds = _meet(asked, summaries, groups, _bounded, "id long, block long, bound double")
     order = Window.partitionBy("id").orderBy(F.desc("bound"), "block")
     chosen = bounds.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIRST).select("id", "block").distinct()
     # A block that many queries choose is searched by several tasks, each with a copy of it.
@@ -228,8 +236,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     ready = stored(thresholds(queries, blocks, n_blocks, k), "thresholds")
     groups = -(-n_blocks // GROUP)
     grouped = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    found = _dealt(ready, groups).groupBy("group").cogroup(grouped.groupBy("group")).applyInArrow(_search(k), FOUND)
-    return ranked(found, k)
+    return ranked(_meet(ready, grouped, groups, _search(k), FOUND), k)
 
 
 def op4(embeddings: DataFrame) -> DataFrame:

@@ -61,6 +61,23 @@ def test_exact_top_k(spark, vectors):
     assert exact_topk.op4(vectors.limit(0)).count() == 0
 
 
+def test_queries_meet_blocks_in_batches(spark, vectors, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_topk, "BATCH", 1)
+    rows = [(i, np.floor(256 * v)) for i, v in usable(vectors)]
+    assert grouped(exact_topk.op4(vectors)) == best(rows, lambda a, b: int(a @ b))
+    queries = spark.range(0, 3000, 1, 12).selectExpr("id", "array(double(id)) as v", "0D as threshold")
+    blocks = spark.range(10).selectExpr("id as block", "int(id % 2) as group")
+
+    def sizes(q, b):
+        return pa.table({"packs": pa.array([q.num_rows]), "blocks": pa.array([b.num_rows])})
+
+    met = exact_topk._meet(queries, blocks, 2, sizes, "packs long, blocks long").collect()
+    assert sum(r.packs for r in met) == 2 * 12 and max(r.packs for r in met) < 6
+    assert all(r.blocks == 5 for r in met) and len(met) == 2 * 12
+
+
 def test_blocks_are_pruned():
     import pyarrow as pa
 
