@@ -35,6 +35,7 @@ CURVES = 8
 DIMS = 6
 BITS = 8
 BLOCK = 2048
+ASKERS = 2048  # queries that meet a block at once
 PROBES = 256
 FIT = 4096
 RECALL = 0.96
@@ -212,6 +213,14 @@ def window_for(reps: DataFrame, ranked: DataFrame, k: int, recall: float = RECAL
     return gaps[min(len(gaps) - 1, int(np.ceil(recall * len(gaps))))] if gaps else 0
 
 
+def _dealt(asks: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: about ASKERS askers of a block share one, each with all rows of the block."""
+    counts = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("salts"))
+    asking = asks.join(counts, "block").withColumn("salt", F.pmod(F.xxhash64("asker"), "salts").cast("int")).drop("salts")
+    copies = rows.join(counts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return asking, copies
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found; inputs (id, v)."""
     spark = vectors.sparkSession
@@ -232,7 +241,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     asks = ranked.filter("asks").select(F.col("gid").alias("asker"), F.col("v").alias("q"), F.explode(touched).alias("block"))
     asks = asks.dropDuplicates(["asker", "block"])
     rows = ranked.select("gid", "v", "ids", F.floor(F.col("rank") / size).alias("block"))
-    found = asks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_block(k + 1), NEAR)
+    asking_rows, copies = _dealt(asks, rows)
+    found = asking_rows.groupBy("block", "salt").cogroup(copies.groupBy("block", "salt")).applyInArrow(_block(k + 1), NEAR)
     merged = _merged(found, k + 1).select(F.col("asker").alias("gid"), "vec_id", "score")
     named = asking.join(reps.select("gid", "h1", "h2"), ["h1", "h2"]).select(F.col("id").alias("query_id"), "gid")
     answered = named.join(merged, "gid").filter("query_id <> vec_id")

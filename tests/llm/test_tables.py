@@ -104,6 +104,20 @@ def test_hilbert_neighbours(spark, vectors):
     assert hilbert_ann.op8(vectors.limit(0)).count() == 0
 
 
+def test_askers_of_a_block_are_dealt(spark, vectors, monkeypatch):
+    whole = grouped(hilbert_ann.op8(vectors))
+    monkeypatch.setattr(hilbert_ann, "ASKERS", 3)
+    found = grouped(hilbert_ann.op8(vectors))
+    # The last bit of a product depends on how many rows are multiplied at once.
+    assert {q: [(i, pytest.approx(s, abs=1e-12)) for i, s in near] for q, near in whole.items()} == found
+    asks = spark.range(60).selectExpr("id as asker", "array(1D) as q", "0L as block")
+    rows = spark.range(10).selectExpr("id as gid", "array(1D) as v", "array(id) as ids", "0L as block")
+    asking, copies = hilbert_ann._dealt(asks, rows)
+    counts = {r.salt: r["count"] for r in asking.groupBy("salt").count().collect()}
+    assert sum(counts.values()) == 60 and max(counts.values()) < 15
+    assert {r.salt: r["count"] for r in copies.groupBy("salt").count().collect()} == dict.fromkeys(range(20), 10)
+
+
 def test_hilbert_curve_visits_neighbours():
     side = np.arange(16)
     cells = np.array([(a, b) for a in side for b in side])
