@@ -6,12 +6,14 @@ from keepwise.llm import (
     bpe,
     chat,
     exact_topk,
+    filter_audit,
     hilbert_ann,
     license_scan,
     mixing,
     near_dup,
     oracle,
     quality,
+    source_audit,
     substring_dedup,
     warc,
 )
@@ -58,6 +60,14 @@ def op10_cube_mix(spark, sf_dir):
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_audit.op11(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_tensored_minhash": op1_tensored_minhash,
     "op2_license_scan": op2_license_scan,
@@ -69,6 +79,8 @@ QUERIES = {
     "op8_hilbert_ann": op8_hilbert_ann,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE: dict[str, str] = {
     "op1_tensored_minhash": oracle.NEAR_DUPLICATES,
@@ -76,4 +88,6 @@ ORACLE: dict[str, str] = {
     "op4_block_topk": exact_topk.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op6_block_anchors": oracle.REPEATED_PASSAGES,
+    "op11_source_divergence": source_audit.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
