@@ -15,6 +15,7 @@ from keepwise.llm import (
     quality,
     source_audit,
     substring_dedup,
+    toxicity,
     warc,
 )
 from keepwise.llm.common import table
@@ -64,6 +65,10 @@ def op11_source_divergence(spark, sf_dir):
     return source_audit.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_cube_mix": op10_cube_mix,
     "op11_source_divergence": op11_source_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE: dict[str, str] = {

@@ -23,6 +23,7 @@ source alone in its language has no pairs; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,7 @@ TERMS, SOURCES = 4096, 256
 SCALE, PRIOR = 1_000_000_000, 5
 
 _IN_TERM = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+_REST = re.compile(rb"[A-Za-z\x80-\xff]*")
 # What remains of eight bytes, read from the left, when only so many belong to the word.
 _FIRST_BYTES = np.array([((1 << 64) - 1) ^ ((1 << 8 * (STEP - n)) - 1) for n in range(STEP + 1)], np.uint64)
 
@@ -123,8 +125,8 @@ def _pieces(text: bytes, size: int):
     lo = 0
     while lo < len(text):
         hi = min(lo + size, len(text))
-        while hi < len(text) and _IN_TERM[text[hi]]:
-            hi += 1
+        rest = _REST.match(text, hi)
+        hi = rest.end()
         yield text[lo:hi]
         lo = hi
 

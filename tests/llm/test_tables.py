@@ -263,7 +263,7 @@ def test_query_against_sql(spark, name):
 def test_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == list(QUERIES) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark, documents):
