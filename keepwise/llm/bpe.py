@@ -5,8 +5,8 @@ belongs to the word after it. The tokenizer never merges across such a place, so
 one by one. Texts of added tokens are words of their own.
 
 1. Documents are written as a bucketed table of chunks (see ``chunks``).
-2. The words that are frequent in a bounded sample are encoded once, up front, and broadcast (at most
-   ``FREQUENT`` words of ``FREQUENT_CHARS`` characters). They only save traffic.
+2. The words that are frequent in a bounded sample are encoded once, up front and in tasks, and broadcast (at
+   most ``FREQUENT`` words of ``FREQUENT_CHARS`` characters). They only save traffic.
 3. Each chunk sends its other distinct words, packed by hash, to the word partitions.
 4. A word partition encodes each of its distinct words once and answers every request with the ids, in
    the order asked.
@@ -23,6 +23,7 @@ repeated rows included; null ids decode to an empty text; ids outside the vocabu
 from __future__ import annotations
 
 import re
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,27 @@ from pyspark.sql import types as T
 
 from keepwise.llm.chunks import PARTITION_BITS, chunked
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.json"  # a public vocabulary's name, or the path of another
 # A space before anything but white space; what Python and the tokenizer may see differently stays inside.
 CUT = re.compile(r" (?=[!-~¡-῿])")
 CHUNK_ROWS = 1000
 SLICE_ROWS = 200  # rows decoded at once
 FREQUENT = 100_000  # words encoded up front and known to all tasks
 FREQUENT_CHARS = 32  # longest of them
+SLICE_WORDS = 1000  # frequent words encoded at once
 SAMPLE_CHUNKS = 6  # chunks they are counted in
 
 
+@lru_cache(1)
 def load(path: str):
+    """The tokenizer, loaded where it is used and once per process; the driver needs none."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    if "/" not in path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
+    tokenizer = Tokenizer.from_file(str(path))
     tokenizer.no_padding()
     tokenizer.no_truncation()
     return tokenizer
@@ -106,37 +114,55 @@ def _unpack(blob: bytes) -> list[str]:
 REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
 
-def frequent_words(table: DataFrame, path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Number of each frequent word, the words' id counts and all their ids; the same for every input size."""
-    added = list(added_tokens(path))
+class Frequent:
+    """The frequent words with their ids, as compact tables; ``place`` is built where it is used."""
+
+    def __init__(self, table: pa.Table):
+        ids = table["ids"].combine_chunks()
+        self.words = table["word"].combine_chunks()
+        self.sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+
+def frequent_words(table: DataFrame, path: str) -> Frequent:
+    """The most frequent short words of the sample, encoded in tasks; the same for every input size."""
 
     def count(batches):
         from collections import Counter
 
-        split, seen = splitter(added), Counter()
+        split, seen = splitter(list(added_tokens(path))), Counter()
         for batch in batches:
             for t in batch.column(0):
                 seen.update(w for w in split(t.as_py() or "") if len(w) <= FREQUENT_CHARS)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
+    def encoded(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_WORDS):
+                words = whole.column(0).slice(lo, SLICE_WORDS)
+                ids = [e.ids for e in load(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
     # The first chunks of the first input partitions: the filter prunes buckets and row groups.
     sample = table.filter(F.col("chunk").isin([p << PARTITION_BITS for p in range(SAMPLE_CHUNKS)])).select("text__")
     counted = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    ids = [e.ids for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
-    flat = np.array([i for e in ids for i in e], np.int32)
-    return {w: i for i, w in enumerate(words)}, np.array([len(e) for e in ids], np.int32), flat
+    most = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
+    return Frequent(most.mapInArrow(encoded, "word string, ids array<int>").toArrow())
 
 
-def _ask(partitions: int, added: list[str], frequent):
+def _ask(partitions: int, path: str, frequent):
     """The requests of one chunk: (part, chunk, words)."""
 
     def run(docs: pa.Table) -> pa.Table:
-        split, words = splitter(added), set()
+        split, words = splitter(list(added_tokens(path))), set()
         for text in docs["text__"]:
             words.update(split(text.as_py() or ""))
         chunk = docs["chunk"][0].as_py()
-        asked = _by_partition(words.difference(frequent.value[0]), partitions)
+        asked = _by_partition(words.difference(frequent.value.place), partitions)
         return pa.table([list(asked), [chunk] * len(asked), [_pack(w) for w in asked.values()]], schema=REQUEST)
 
     return run
@@ -181,20 +207,20 @@ def _read_answer(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def _join_back(partitions: int, added: list[str], frequent, pieces_):
+def _join_back(partitions: int, path: str, frequent, decoded: bool):
     """Ids of every document of one chunk, from the answers to its distinct words; decoded where asked."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.sort_by("row")
-        split = splitter(added)
-        known, *first = frequent.value
+        split = splitter(list(added_tokens(path)))
+        known = frequent.value.place
         # Split twice rather than keep a million words.
         rare: set[str] = set()
         for t in docs["text__"]:
             rare.update(split(t.as_py() or ""))
         rare.difference_update(known)
         asked = _by_partition(rare, partitions)
-        place, sizes, flat = dict(known), [first[0]], [first[1]]
+        place, sizes, flat = dict(known), [frequent.value.sizes], [frequent.value.ids]
         got = dict(zip(answers["part"].to_pylist(), answers["ids"].to_pylist(), strict=True)) if asked else {}
         for part, own in asked.items():
             n, ids = _read_answer(got[part], len(own))
@@ -214,9 +240,8 @@ def _join_back(partitions: int, added: list[str], frequent, pieces_):
         word_ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
         lists = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), pa.array(flat[take], pa.int32()))
         columns = {"rest": docs["rest"], "ids": lists}
-        if pieces_ is not None:
-            table = pa.array(pieces_.value, pa.binary())
-            parts = [_text_of(lists.slice(lo, SLICE_ROWS), table) for lo in range(0, len(lists), SLICE_ROWS)]
+        if decoded:
+            parts = [_text_of(lists.slice(lo, SLICE_ROWS), pieces(path)) for lo in range(0, len(lists), SLICE_ROWS)]
             columns["decoded"] = pa.chunked_array(parts, pa.string())
         return pa.table(columns)
 
@@ -230,27 +255,27 @@ def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, decoded:
     of that name); ``decode`` does the same for ids that are stored.
     """
     spark = docs.sparkSession
-    partitions, added = int(spark.conf.get("spark.sql.shuffle.partitions")), list(added_tokens(path))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Other columns travel as one, so that none of their names can clash.
     others = [c for c in docs.columns if c not in (text, "ids") and not (decoded and c == "decoded")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__none"))
     table = chunked(docs.select(F.col(f"`{text}`").alias("text__"), rest.alias("rest")), CHUNK_ROWS)
     asked = table.select("chunk", "text__").groupBy("chunk")  # the buckets: nothing is shuffled
     frequent = spark.sparkContext.broadcast(frequent_words(table, path))
-    requests = asked.applyInArrow(_ask(partitions, added, frequent), "part int, chunk long, words binary")
+    requests = asked.applyInArrow(_ask(partitions, path, frequent), "part int, chunk long, words binary")
     dealt = requests.repartition(partitions, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(_answer(path), "part int, chunk long, ids binary")
-    fields, known = [table.schema["rest"], T.StructField("ids", T.ArrayType(T.IntegerType()))], None
+    fields = [table.schema["rest"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if decoded:
         fields.append(T.StructField("decoded", T.StringType()))
-        known = spark.sparkContext.broadcast(pieces(path))  # the vocabulary: a bounded table
-    back = _join_back(partitions, added, frequent, known)
+    back = _join_back(partitions, path, frequent, decoded)
     done = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, T.StructType(fields))
     return done.select(*[F.col(f"rest.`{c}`") for c in others], *[f.name for f in fields[1:]])
 
 
-def pieces(path: str) -> list[bytes]:
-    """The bytes of every id; byte-level pieces are undone by the fixed byte alphabet."""
+@lru_cache(1)
+def pieces(path: str) -> pa.Array:
+    """The bytes of every id, once per process; byte-level pieces are undone by the fixed byte alphabet."""
     tokenizer = load(path)
     # Fixed values of byte-level vocabularies: printable Latin-1 stands for itself, the rest from 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -260,7 +285,7 @@ def pieces(path: str) -> list[bytes]:
     added = added_tokens(path)
     for piece, i in tokenizer.get_vocab().items():
         out[i] = piece.encode() if piece in added else bytes(back[c] for c in piece)
-    return out
+    return pa.array(out, pa.binary())
 
 
 def _text_of(lists: pa.Array, known: pa.Array) -> pa.Array:
@@ -277,13 +302,12 @@ def _text_of(lists: pa.Array, known: pa.Array) -> pa.Array:
 
 def decode(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """The rows with the text of their ids (replacing a column of that name); bytes that are not UTF-8 become replacement characters."""
-    table = df.sparkSession.sparkContext.broadcast(pieces(path))  # the vocabulary: a bounded table
     df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
     at = df.columns.index(ids)
 
     def run(batches):
-        known = pa.array(table.value, pa.binary())
+        known = pieces(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(lo, SLICE_ROWS)

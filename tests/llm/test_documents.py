@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from awkward import awkward, documents, nothing  # noqa: F401
 from tokenizers import Tokenizer
@@ -111,7 +112,7 @@ def test_passages_that_overlap_themselves(spark):
 
 
 def test_bpe_as_the_library(documents, nothing):
-    tokenizer = Tokenizer.from_file(bpe.VOCABULARY)
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(bpe.VOCABULARY)))
     expected = Counter()
     for i, text in awkward():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -123,7 +124,7 @@ def test_bpe_as_the_library(documents, nothing):
 
 
 def test_words_join_to_the_text():
-    tokenizer = Tokenizer.from_file(bpe.VOCABULARY)
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(bpe.VOCABULARY)))
     split = bpe.splitter(["<|endoftext|>"])
     pieces = [" ", "  ", "\n", "\t", "a", "B", "9", "'s", ".", "é", "漢", "<|endoftext|>", "\x1c", "\x85", " ", "​"]
     rng = np.random.default_rng(0)
