@@ -51,6 +51,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """Numbers of the rows whose text also stands under a smaller id; texts are compared by SHA-256."""
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = first.filter(F.col("first") < F.col("last")).select(F.col("digest").alias("same"), "first")
+    # Written, so that the join is a stage of its own, whose hot digests adaptive execution can split.
+    first = stored(first, "copies")
     return rows.join(first, (F.col("digest") == F.col("same")) & (F.col("doc_id") > F.col("first")), "left_semi").select("row")
 
 
