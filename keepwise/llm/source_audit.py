@@ -38,7 +38,7 @@ STEP = 8  # bytes compared at once
 DEEP = 64  # words are compared in steps up to here
 MIN_DOCS = 30
 TOP = 50
-TERMS, SOURCES = 4096, 256
+TERMS, SOURCES = 512, 256
 SCALE, PRIOR = 1_000_000_000, 5
 
 _IN_TERM = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
