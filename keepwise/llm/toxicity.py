@@ -30,8 +30,6 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +44,7 @@ ONE_EDIT, TWO_EDITS = 6, 10
 PIECE = 1 << 20
 WINDOW = 90  # characters looked at on either side
 PREDICT_AT = 0.5
+COUNTED = 100_000  # words a counting task holds before it passes them on
 
 WORD = re.compile(r"[\w@$*]+")
 REPEATED = re.compile(r"(.)\1{2,}")
@@ -171,7 +170,7 @@ class Lexicon:
 class Matcher:
     """Errors of each word of a text, remembered for words that match; knows most words that do not."""
 
-    REMEMBER = 400_000
+    REMEMBER = 100_000
 
     def __init__(self, lexicon: Lexicon):
         self.automaton = Automaton(lexicon.words, lexicon.stems)
@@ -259,8 +258,15 @@ def document_features(text: str | None, matcher: Matcher) -> tuple[list[float],
 
 def _counted_words(batches):
     """Partial (stem, word, toxic, other): documents with the word, by label; for beginnings toxic documents only."""
+    seen: dict[tuple[bool, str], list[int]] = {}
+
+    def counted():
+        columns = [[t[0] for t in seen], [t[1] for t in seen], [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
+        kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stem", "word", "toxic", "other"])
+
     for batch in batches:
-        seen: dict[tuple[bool, str], list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             data = text.as_py().lower()
             words = {plain(w) for lo, hi in pieces(data) for w in set(WORD.findall(data[lo:hi]))}
@@ -270,9 +276,9 @@ def _counted_words(batches):
                 terms += [(True, s) for s in {w[:n] for w in words for n in range(STEM, min(len(w), LONGEST + 1))}]
             for t in terms:
                 seen.setdefault(t, [0, 0])[0 if toxic else 1] += 1
-        columns = [[t[0] for t in seen], [t[1] for t in seen], [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
-        kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stem", "word", "toxic", "other"])
+            if len(seen) > COUNTED:
+                yield counted()
+    yield counted()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train: Column | None, max_rows: int) -> DataFrame:
@@ -368,6 +374,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
     if toxic in (0, n):
         chance = (toxic + 1) / (n + 2)
         return Model(Lexicon([], [], []), [0.0] * len(FEATURES), math.log(chance / (1 - chance)))
+    # Imported here, so that the workers of the scoring tasks do not carry it.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
     lexicon = learn_lexicon(rows, toxic, n)
     features = stored(with_features(rows, lexicon).select("toxic", *FEATURES), "features")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(features).select(F.col("toxic").cast("double").alias("label"), F.col("v").alias("features"))
