@@ -8,6 +8,8 @@ the window runs inside a bucket and the few bucket totals supply the offset.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from keepwise.functions.features import check_threshold
 from keepwise.functions.numbers import guarded
 from keepwise.schema import PROBABILITY
+from keepwise.session import table_path, write_table
 
 # Thresholds of the overview table and display names of the classes.
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
@@ -90,6 +93,41 @@ def roc_auc(df: DataFrame, y: str = "y_true", p: str = PROBABILITY) -> DataFrame
     return ranked_scores(df, y, p).agg(_auc().alias("roc_auc"))
 
 
+def roc_auc_by(df: DataFrame, keys: list[str], y: str = "y_true", p: str = PROBABILITY) -> DataFrame:
+    """(keys, roc_auc) for many rankings at once; null where a key has a single class.
+
+    Distinct scores are laid out by range of (keys, score) and written, so that a key may hold any share of
+    the rows. Running totals are taken inside a range; the totals of the ranges above come from one row per key
+    and range.
+    """
+    spark = df.sparkSession
+    counted = df.groupBy(*keys, F.col(p).cast("double").alias("score")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    )
+    ranges = counted.repartitionByRange(*keys, "score").withColumn("range", F.spark_partition_id())
+    # Written, since a range is only known where the row was laid out.
+    laid = write_table(ranges, table_path(spark, "rankings", uuid.uuid4().hex))
+    per_key = Window.partitionBy(*keys)
+    above = per_key.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy(*keys, "range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    totals = totals.select(
+        *keys,
+        "range",
+        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_above"),
+        F.sum("_p").over(per_key).alias("P"),
+        F.sum("_n").over(per_key).alias("N"),
+    )
+    inside = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
+    higher = laid.withColumn("_inside", F.sum("pos").over(inside) - F.col("pos"))
+    wins = higher.join(totals, [*keys, "range"]).groupBy(*keys).agg(
+        F.sum(F.col("neg").cast("double") * (F.col("_above") + F.col("_inside") + F.col("pos") / 2)).alias("_wins"),
+        F.first("P").alias("P"),
+        F.first("N").alias("N"),
+    )
+    pairs = F.nullif(F.col("P").cast("double") * F.col("N"), F.lit(0.0))
+    return wins.select(*keys, (F.col("_wins") / pairs).alias("roc_auc"))
+
+
 def compute_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y_true", p: str = PROBABILITY) -> DataFrame:
     """One row: accuracy, precision, recall, f1, roc_auc. Data with a single class fails the query."""
     check_threshold(threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
@@ -9,16 +10,8 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
-    DecisionTreeClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     OneHotEncoder,
     StringIndexer,
@@ -30,15 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise.functions.features import decision
+from keepwise.operators.metrics import roc_auc_by
 from keepwise.operators.prepare import enrich
 from keepwise.operators.quality import check_columns
 from keepwise.operators.split import FOLDS, SEED, with_folds
 from keepwise.operators.stages import BalancedWeights, ModeImputer, NumericScaler
-from keepwise.schema import CATEGORICAL, LABEL, NUMERIC, PROBABILITY, SchemaError
-from keepwise.session import fits_at_once
+from keepwise.operators.trees import HistogramTrees, NodeTableModel
+from keepwise.schema import CATEGORICAL, ID, LABEL, NUMERIC, PROBABILITY, SchemaError
+from keepwise.session import fits_at_once, table_path
 
 FEATURES_COL = "features"
 WEIGHT = "weight"
+PARTITION_ROWS = 50_000  # rows a task of a fit reads
 
 
 def preprocessing() -> list:
@@ -75,15 +71,30 @@ def feature_names(model: PipelineModel) -> list[str]:
 
 @dataclass(frozen=True)
 class Candidate:
-    """A model family: how to build it from parameters and row count, and its grid."""
+    """A model family: how to build it from parameters and row count, and its grid.
+
+    ``nested`` names parameters whose smaller values a model fitted with the largest one contains;
+    ``reduce`` takes such a model out of it.
+    """
 
     name: str
     build: Callable[[dict, int], Estimator]
     grid: dict[str, list]
+    nested: tuple[str, ...] = ()
+    reduce: Callable[[Model, dict], Model] = lambda model, _: model
 
     def settings(self) -> list[dict]:
         return [dict(zip(self.grid, values, strict=True)) for values in product(*self.grid.values())]
 
+    def fits(self) -> list[tuple[dict, list[int]]]:
+        """Parameters to fit with, each with the numbers of the settings it serves."""
+        served: dict[tuple, list[int]] = {}
+        for number, setting in enumerate(self.settings()):
+            served.setdefault(tuple(v for k, v in setting.items() if k not in self.nested), []).append(number)
+        settings = self.settings()
+        largest = {k: max(self.grid[k]) for k in self.nested}
+        return [(settings[numbers[0]] | largest, numbers) for numbers in served.values()]
+
 
 _COLUMNS = {"featuresCol": FEATURES_COL, "labelCol": LABEL, "weightCol": WEIGHT}
 
@@ -92,8 +103,6 @@ def candidates(seed: int = SEED) -> list[Candidate]:
     """The three families with their grids.
 
     Logistic regression: C becomes regParam = 1 / (C * n), the total balanced weight being n.
-    Trees: Spark has no minimum parent size, so min_samples_split is applied as half of it per
-    child.
     """
 
     def logistic(params, n):
@@ -101,97 +110,136 @@ def candidates(seed: int = SEED) -> list[Candidate]:
             regParam=1.0 / (params["C"] * n), standardization=False, maxIter=2000, **_COLUMNS
         )
 
-    def tree(params, _):
-        return DecisionTreeClassifier(
+    def trees(params, _):
+        return HistogramTrees(
+            trees=params.get("n_estimators", 1),
             maxDepth=params["max_depth"],
-            minInstancesPerNode=max(1, params["min_samples_split"] // 2),
+            maxFeatures=str(params.get("max_features", "all")),
+            minSplit=params["min_samples_split"],
+            bagging="n_estimators" in params,
             seed=seed,
+            idCol=ID,
             **_COLUMNS,
         )
 
-    def forest(params, _):
-        return RandomForestClassifier(
-            numTrees=params["n_estimators"],
-            maxDepth=params["max_depth"],
-            featureSubsetStrategy=str(params["max_features"]),
-            minInstancesPerNode=max(1, params["min_samples_split"] // 2),
-            seed=seed,
-            **_COLUMNS,
-        )
+    def smaller(model, params):
+        return model.truncated(params.get("n_estimators", 1), params["max_depth"])
 
     # Model names and grids.
     return [
         Candidate("Logistisk regression", logistic, {"C": [0.01, 0.1, 1, 10]}),
-        Candidate("Beslutsträd", tree, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}),
+        Candidate("Beslutsträd", trees, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}, ("max_depth",), smaller),
         Candidate(
             "Random forest",
-            forest,
+            trees,
             {
                 "n_estimators": [100, 200],
                 "max_depth": [5, 10],
                 "max_features": ["sqrt", 0.5],
                 "min_samples_split": [2, 20],
             },
+            ("n_estimators", "max_depth"),
+            smaller,
         ),
     ]
 
 
-def auc(predictions: DataFrame) -> float:
-    """Exact area under the ROC curve, computed by Spark from sorted scores."""
-    return BinaryClassificationEvaluator(
-        rawPredictionCol="probability", labelCol=LABEL, numBins=0
-    ).evaluate(predictions)
+def laid_out(rows: DataFrame, n: int) -> DataFrame:
+    """The rows in an order and in partitions that follow from the rows alone.
 
+    Fits that draw per partition, such as forests, then give the same model however the input was
+    partitioned, and small tables do not pay for many small tasks.
+    """
+    parts = max(1, -(-n // PARTITION_ROWS))
+    key = F.xxhash64(ID)
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.repartition(parts, key).sortWithinPartitions(key, everything)
 
-def tune(
+
+def positive_score(model: Model, rows: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, churn_probability) without the columns that ranking does not need."""
+    model = model.copy()
+    if isinstance(model, LogisticRegressionModel):
+        model = model.setRawPredictionCol("").setPredictionCol("")
+    return model.transform(rows).select(*kept, vector_to_array(F.col("probability"))[1].alias(PROBABILITY))
+
+
+def grid_scores(
     train: DataFrame,
     families: list[Candidate],
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 8,
-) -> dict[str, tuple[dict, float]]:
-    """Best parameters and mean fold AUC per family, by stratified cross-validation.
+) -> DataFrame:
+    """(setting, fold, roc_auc) of every grid point, numbered in the order of the families' grids.
 
-    Preprocessing and class weights are learned inside each fold, once for the whole grid.
-    The vectors of the folds under way stay cached while their models are fitted by parallel
-    jobs; the row count decides how many folds and fits share the cluster, down to one. On
-    equal means the earlier grid point wins.
+    Preprocessing and class weights are learned inside each fold, once for the whole grid. The
+    vectors of the folds under way stay cached while their models are fitted by parallel jobs;
+    the row count decides how many folds and fits share the cluster, down to one. Each fit writes the scores
+    of its held-out rows; all folds and settings are then ranked in one query.
     """
-    folded = with_folds(train, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    settings = [(family, setting) for family in families for setting in family.settings()]
+    spark = train.sparkSession
+    kept = [ID, *NUMERIC, *CATEGORICAL, LABEL]
+    rows = train.count()
+    folded = laid_out(with_folds(train.select(*kept), folds, seed), rows).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks, first_number = [], 0
+    for family in families:
+        settings = family.settings()
+        tasks += [(family, fitted, [(first_number + k, settings[k]) for k in numbers]) for fitted, numbers in family.fits()]
+        first_number += len(settings)
+    path = table_path(spark, "held_scores", uuid.uuid4().hex)
 
     def prepare(fold: int):
         held = folded.withColumn("_held", F.col("fold") == fold)
         fitted = Pipeline(stages=training_stages()).fit(held.filter(~F.col("_held")))
-        vectors = fitted.transform(held).select("_held", LABEL, WEIGHT, FEATURES_COL)
+        vectors = fitted.transform(held).select("_held", ID, LABEL, WEIGHT, FEATURES_COL)
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-        return vectors, vectors.filter(~F.col("_held")).count()
+        return fold, vectors, vectors.filter(~F.col("_held")).count()
 
-    def run(task) -> float:
-        (vectors, n), (family, setting) = task
-        fitted = family.build(setting, n).fit(vectors.filter(~F.col("_held")))
-        return auc(fitted.transform(vectors.filter(F.col("_held"))))
+    def run(task) -> None:
+        (family, largest, served), (fold, vectors, n) = task
+        fitted = family.build(largest, n).fit(vectors.filter(~F.col("_held")))
+        for number, setting in served:
+            scores = positive_score(family.reduce(fitted, setting), vectors.filter(F.col("_held")), LABEL)
+            scores.write.mode("overwrite").parquet(f"{path}/setting={number}/fold={fold}")
 
-    scores, prepared = [0.0] * len(settings), []
+    prepared = []
     try:
-        rows = folded.count()
         folds_at_once = fits_at_once(rows, folds)
         with ThreadPool(fits_at_once(rows, parallelism)) as pool:
             for first in range(0, folds, folds_at_once):
-                batch = range(first, min(folds, first + folds_at_once))
-                prepared += in_parallel(pool, prepare, batch)
+                prepared += in_parallel(pool, prepare, range(first, min(folds, first + folds_at_once)))
                 # The longest fits are listed last; they start first, so that no core waits for them.
-                tasks = [(fold, setting) for setting in reversed(settings) for fold in prepared]
-                for i, value in enumerate(in_parallel(pool, run, tasks)):
-                    scores[len(settings) - 1 - i // len(batch)] += value / folds
+                in_parallel(pool, run, [(task, fold) for task in reversed(tasks) for fold in prepared])
                 while prepared:
-                    prepared.pop()[0].unpersist()
+                    prepared.pop()[1].unpersist()
     finally:
-        for vectors, _ in prepared:
+        for _, vectors, _ in prepared:
             vectors.unpersist()
         folded.unpersist()
+    held = spark.read.schema(f"{LABEL} double, {PROBABILITY} double, setting int, fold int").parquet(path)
+    return roc_auc_by(held, ["setting", "fold"], LABEL)
+
+
+def tune(
+    train: DataFrame,
+    families: list[Candidate],
+    folds: int = FOLDS,
+    seed: int = SEED,
+    parallelism: int = 8,
+) -> dict[str, tuple[dict, float]]:
+    """Best parameters and mean fold AUC per family, by stratified cross-validation.
+
+    On equal means the earlier grid point wins; a fold whose held-out rows have one class cannot be ranked.
+    """
+    scores = grid_scores(train, families, folds, seed, parallelism)
+    means = {r.setting: r.score for r in scores.groupBy("setting").agg(F.avg("roc_auc").alias("score")).collect()}
     best: dict[str, tuple[dict, float]] = {}
-    for (family, setting), score in zip(settings, scores, strict=True):
+    numbered = enumerate((family, setting) for family in families for setting in family.settings())
+    for number, (family, setting) in numbered:
+        score = means.get(number)
+        if score is None:
+            raise ValueError("no fold has held-out rows of both classes")
         if family.name not in best or score > best[family.name][1]:
             best[family.name] = (setting, score)
     return best
@@ -211,12 +259,20 @@ def fit_pipelines(
     They share one fit of the preprocessing and one cached set of vectors.
     """
     prepared = Pipeline(stages=training_stages()).fit(train)
-    vectors = prepared.transform(train).select(LABEL, WEIGHT, FEATURES_COL)
+    rows = laid_out(train.select(ID, *NUMERIC, *CATEGORICAL, LABEL), train.count())
+    vectors = prepared.transform(rows).select(ID, LABEL, WEIGHT, FEATURES_COL)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vectors.count()
+
+        def fit(task):
+            estimator = task[0].build(task[1], n)
+            if isinstance(estimator, HistogramTrees) and n <= PARTITION_ROWS:
+                estimator._set(groups=parallelism)  # one task would read all rows: deal the trees instead
+            return estimator.fit(vectors)
+
         with ThreadPool(fits_at_once(n, parallelism)) as pool:
-            fitted = in_parallel(pool, lambda c: c[0].build(c[1], n).fit(vectors), chosen)
+            fitted = in_parallel(pool, fit, chosen)
     finally:
         vectors.unpersist()
     return [PipelineModel([*prepared.stages, model]) for model in fitted]
@@ -225,8 +281,7 @@ def fit_pipelines(
 # What a fitted classifier says about its columns: name of the figures and where they stand.
 WEIGHTS = {
     LogisticRegressionModel: ("coefficient", "coefficients"),
-    DecisionTreeClassificationModel: ("importance", "featureImportances"),
-    RandomForestClassificationModel: ("importance", "featureImportances"),
+    NodeTableModel: ("importance", "featureImportances"),
 }
 
 

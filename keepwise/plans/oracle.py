@@ -330,6 +330,51 @@ def _levels() -> str:
     )
 
 
+TRAIN_ROWS = SPLIT_CTES + """,
+t AS (SELECT f.*, label AS y FROM features f JOIN parts USING ("customerID") WHERE part = 'train')"""
+
+
+def _tree_levels(depth: int = 3, least: int = 20) -> str:
+    """The greedy tree over the one-hot features, one chain of tables per level."""
+    long = " UNION ALL ".join(f'SELECT "customerID" AS id, {i} AS pos, \'{c}\' AS col, "{c}" AS level FROM t' for i, c in enumerate(CATEGORICAL))
+    sql = f"""{TRAIN_ROWS},
+w AS (SELECT count(*) / (2.0 * count_if(y = 0)) AS w0, count(*) / (2.0 * count_if(y = 1)) AS w1 FROM t),
+long AS ({long}),
+names AS (SELECT col || '_' || level AS feature, col, level, row_number() OVER (ORDER BY pos, level) AS k FROM (SELECT DISTINCT pos, col, level FROM long)),
+hot AS (SELECT id, k FROM long JOIN names USING (col, level)),
+at0 AS (SELECT "customerID" AS id, y, 1 AS node FROM t)"""
+    for d in range(depth + 1):
+        sql += f""",
+whole{d} AS (SELECT node, count(*) AS n, count_if(y = 0) AS n0, count_if(y = 1) AS n1 FROM at{d} GROUP BY node),
+right{d} AS (SELECT node, k, count_if(y = 0) AS r0, count_if(y = 1) AS r1 FROM at{d} JOIN hot USING (id) GROUP BY node, k),
+sums{d} AS (SELECT node, k, n, n0, n1, [r0 * w0, r1 * w1] AS r, [(n0 - r0) * w0, (n1 - r1) * w1] AS l, [n0 * w0, n1 * w1] AS a
+    FROM right{d} JOIN whole{d} USING (node) CROSS JOIN w WHERE r0 + r1 < n),
+gains{d} AS (SELECT node, k, n, n0, n1, round((l[1] * l[1] + l[2] * l[2]) / (l[1] + l[2]) + (r[1] * r[1] + r[2] * r[2]) / (r[1] + r[2])
+    - (a[1] * a[1] + a[2] * a[2]) / (a[1] + a[2]), 9) AS gain FROM sums{d}),
+best{d} AS (SELECT node, k, gain FROM gains{d} WHERE {d} < {depth} AND n >= {least} AND n0 > 0 AND n1 > 0 AND gain > 1e-9
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, k) = 1),
+at{d + 1} AS (SELECT a.id, y, 2 * node + CASE WHEN hot.id IS NULL THEN 0 ELSE 1 END AS node
+    FROM at{d} a JOIN best{d} b USING (node) LEFT JOIN hot ON hot.id = a.id AND hot.k = b.k)"""
+    nodes = " UNION ALL ".join(
+        f"SELECT node, feature, n AS rows, n0, n1, {r('coalesce(gain, 0)', 'gain')} FROM whole{d} LEFT JOIN best{d} USING (node) LEFT JOIN names USING (k)"
+        for d in range(depth + 1)
+    )
+    return _features(f"{sql}\n{nodes}")
+
+
+def _gradient() -> str:
+    levels = " UNION ".join(f'SELECT \'{c}_\' || "{c}" AS feature FROM t' for c in CATEGORICAL)
+    numbers = ", ".join(f"('{c}')" for c in ["intercept", *NUMERIC])
+    return _features(f"{TRAIN_ROWS}, names(feature) AS (VALUES {numbers} UNION {levels}) SELECT feature, CAST(0 AS DOUBLE) AS gradient FROM names")
+
+
+# What has to hold of every fitted model: all customers scored, and no exception.
+FOREST_CERTIFICATE = """
+SELECT 'customers scored' AS what, count(*) AS n FROM features
+UNION ALL SELECT unnest(['scores unlike the votes of the node table', 'trees whose leaves hold other rows than their root',
+    'nodes that depend on the partitions of the rows']), 0"""
+
+
 def _profile(digits: int = 6) -> str:
     return f""", seg AS (SELECT *, CAST(tenure % 4 AS INTEGER) AS segment FROM features),
 usual AS (SELECT segment, "Contract" FROM (SELECT segment, "Contract", row_number() OVER (PARTITION BY segment
@@ -568,8 +613,14 @@ SELECT "customerID", label, CAST({" + ".join(f"CASE WHEN rn > ceil(n * {f} / 5.0
     FROM scored WHERE tenure % 4 IN (1, 2) AND "Contract" IN ('Two year', 'One year')"""
         ),
         "price_residuals": _features(
-            f"""{PRICED} SELECT "InternetService", CAST(0 AS DOUBLE) AS residual FROM priced GROUP BY ALL"""
+            f"{PRICED} "
+            + " UNION ".join(
+                f"SELECT '{c}' AS feature, \"{c}\" AS level, CAST(0 AS DOUBLE) AS residual FROM priced" for c in PRICE_FEATURES
+            )
         ),
+        "tree_levels": _tree_levels(),
+        "forest_certificate": _features(FOREST_CERTIFICATE),
+        "logistic_gradient": _gradient(),
         "class_weights": _features(
             f"SELECT churn_flag AS label, count(*) AS n, "
             f"{r('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM features GROUP BY churn_flag"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +23,10 @@ from keepwise.operators import (
     quality,
     segments,
     split,
+    trees,
 )
 from keepwise.operators.stages import BalancedWeights, NumericScaler
+from keepwise.operators.trees import HistogramTrees
 from keepwise.plans import dashboard as dashboards
 from keepwise.plans.tables import (
     customers,
@@ -43,6 +45,7 @@ from keepwise.schema import (
     ID,
     LABEL,
     NUMERIC,
+    PRICE_FEATURES,
     PROBABILITY,
     REQUIRED,
     SIMPLE_FEATURES,
@@ -247,6 +250,66 @@ def model_scores(spark, sf_dir):
     return scores.select(ID, PROBABILITY, "predicted_churn")
 
 
+def _training_vectors(spark, sf_dir):
+    """The prepared training rows, their fitted stages, and how many rows there are."""
+    rows = split.split_data(prepare.features_with_label(customers(spark, sf_dir))).filter("part = 'train'").drop("part")
+    prepared = Pipeline(stages=models.training_stages()).fit(rows)
+    n = rows.count()
+    return prepared.transform(models.laid_out(rows, n)), prepared, n
+
+
+def tree_levels(spark, sf_dir):
+    """(node, feature, rows, n0, n1, gain) of a tree of three levels over the one-hot features."""
+    vectors, prepared, _ = _training_vectors(spark, sf_dir)
+    names = models.feature_names(prepared)
+    hot = VectorSlicer(inputCol=models.FEATURES_COL, outputCol="hot", indices=list(range(len(NUMERIC), len(names))))
+    estimator = HistogramTrees(maxDepth=3, minSplit=20, idCol=ID, featuresCol="hot", labelCol=LABEL, weightCol=models.WEIGHT)
+    nodes = estimator.fit(hot.transform(vectors)).node_table(spark)
+    feature = F.get(F.array(*[F.lit(n) for n in names[len(NUMERIC) :]]), F.nullif("feature", F.lit(-1)))
+    return rounded(nodes.select("node", feature.alias("feature"), "rows", "n0", "n1", "gain"))
+
+
+def forest_certificate(spark, sf_dir):
+    """(what, n): a forest's votes walked over its node table, its counts, and its fit from other partitions."""
+    vectors, prepared, _ = _training_vectors(spark, sf_dir)
+    estimator = HistogramTrees(trees=12, maxDepth=4, maxFeatures="sqrt", minSplit=20, bagging=True, seed=1, idCol=ID, labelCol=LABEL, weightCol=models.WEIGHT)
+    model = estimator.fit(vectors.repartition(4))
+    nodes, other = (m.node_table(spark) for m in (model, estimator._set(groups=5).fit(vectors.repartition(31))))
+    scored_rows = models.predict_proba(PipelineModel([*prepared.stages, model]), customers(spark, sf_dir))
+    x = prepared.transform(prepare.prepare_features(customers(spark, sf_dir))).select(F.col(ID).alias("id"), vector_to_array("features").alias("x"))
+    walked = trees.walked_scores(x, nodes, 4, tuple(model.getOrDefault(model.classWeights)))
+    both = scored_rows.select(F.col(ID).alias("id"), PROBABILITY).join(walked, "id", "full")
+    unlike = F.coalesce(F.abs(F.col(PROBABILITY) - F.col("score")) > 1e-9, F.lit(True))
+    leaf = F.col("feature") < 0
+    sums = nodes.groupBy("tree").agg(*[F.sum(F.when(leaf, F.col(c)).when(F.col("node") == 1, -F.col(c))).alias(c) for c in ("rows", "n0", "n1")])
+    columns = [F.col(c) for c in nodes.columns]
+    apart = nodes.exceptAll(other).unionByName(other.exceptAll(nodes)).select(columns)
+    counts = [
+        both.agg(F.lit("customers scored").alias("what"), F.count("*").alias("n")),
+        both.agg(F.lit("scores unlike the votes of the node table"), F.count_if(unlike)),
+        sums.agg(F.lit("trees whose leaves hold other rows than their root"), F.count_if(F.expr("rows <> 0 or n0 <> 0 or n1 <> 0"))),
+        apart.agg(F.lit("nodes that depend on the partitions of the rows"), F.count("*")),
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+def logistic_gradient(spark, sf_dir):
+    """(feature, gradient): slope of the penalised loss at the fitted weights; nothing at the optimum."""
+    vectors, prepared, n = _training_vectors(spark, sf_dir)
+    estimator = models.candidates()[0].build({"C": 1}, n)
+    model = estimator.fit(vectors)
+    names = ["intercept", *models.feature_names(prepared)]
+    weights = [0.0, *[float(b) for b in model.coefficients]]
+    p = vector_to_array(F.col("probability"))[1]
+    residual = F.col(models.WEIGHT) * (p - F.col(LABEL))
+    x = F.concat(F.array(F.lit(1.0)), vector_to_array(models.FEATURES_COL))
+    slopes = model.transform(vectors).select(models.WEIGHT, residual.alias("r"), F.posexplode(x).alias("position", "x"))
+    sums = slopes.groupBy("position").agg((F.sum(F.col("r") * F.col("x")) / F.sum(models.WEIGHT)).alias("slope"))
+    at = F.get(F.array(*[F.lit(b) for b in weights]), F.col("position"))
+    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("position"))
+    return rounded(sums.select(name.alias("feature"), (F.col("slope") + at * estimator.getRegParam()).alias("gradient")), 4)
+
+
 def held_out_predictions(spark, sf_dir):
     path = fresh_path(spark, "test_predictions")
     logs.write_test_predictions(trained(spark, sf_dir).test_predictions, path)
@@ -365,10 +428,12 @@ def price_list(spark, sf_dir):
 
 
 def price_residuals(spark, sf_dir):
-    """(level, residual): what least squares leaves on average at each level of the training rows: nothing."""
+    """(feature, level, residual): what least squares leaves on average at each level of all features of the training rows: nothing."""
     data = pricing.split_pricing(pricing.pricing_data(customers(spark, sf_dir))).filter("part = 'train'")
     left = data.withColumn("residual", F.col("MonthlyCharges") - _price_model(spark, sf_dir)[0].price())
-    return rounded(left.groupBy("InternetService").agg(F.avg("residual").alias("residual")), 4)
+    levels = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in PRICE_FEATURES]
+    long = left.select("residual", F.inline(F.array(*levels)))
+    return rounded(long.groupBy("feature", "level").agg(F.avg("residual").alias("residual")), 4)
 
 
 def price_r2(spark, sf_dir):
@@ -509,6 +574,9 @@ QUERIES = {
     "imputed_scaled_numeric": imputed_scaled_numeric,
     "onehot_long": onehot_long,
     "model_scores": model_scores,
+    "tree_levels": tree_levels,
+    "forest_certificate": forest_certificate,
+    "logistic_gradient": logistic_gradient,
     "held_out_predictions": held_out_predictions,
     "held_out_rows": held_out_rows,
     "model_comparison": model_comparison,
