@@ -44,6 +44,7 @@ ONE_EDIT, TWO_EDITS = 6, 10
 PIECE = 1 << 20
 WINDOW = 90  # characters looked at on either side
 PREDICT_AT = 0.5
+FILES = 16  # the sample is bounded, so few files hold it whatever the input
 COUNTED = 100_000  # words a counting task holds before it passes them on
 
 WORD = re.compile(r"[\w@$*]+")
@@ -289,14 +290,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: Column | None, max_
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # short rows, a bounded broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    return stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "training")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    return stored(rows.coalesce(FILES), "training")
 
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_rows: int) -> Lexicon:
     """Words and stems whose presence speaks for the toxic label."""
     prior = n_toxic / n_rows
     partial = rows.mapInArrow(_counted_words, "stem boolean, word string, toxic long, other long")
-    both = stored(partial.groupBy("stem", "word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "words")
+    both = partial.groupBy("stem", "word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    both = stored(both.coalesce(FILES), "words")
     counted = both.filter("not stem").drop("stem")
     in_docs = both.filter(F.col("stem") & (F.col("toxic") >= STEM_DOCS)).select("word")
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("other") + 1)
@@ -379,9 +382,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
     from pyspark.ml.feature import VectorAssembler
 
     lexicon = learn_lexicon(rows, toxic, n)
-    features = stored(with_features(rows, lexicon).select("toxic", *FEATURES), "features")
+    features = with_features(rows, lexicon).select("toxic", *FEATURES)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(features).select(F.col("toxic").cast("double").alias("label"), F.col("v").alias("features"))
+    vectors = vectors.persist()
     learned = LogisticRegression(regParam=1e-3, maxIter=60).fit(vectors)
+    vectors.unpersist()
     return Model(lexicon, [float(w) for w in learned.coefficients], float(learned.intercept))
 
 
