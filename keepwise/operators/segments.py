@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import features as X
-from keepwise.operators.models import FEATURES_COL, in_parallel, preprocessing
+from keepwise.operators.kmeans import Clusters, Rows
+from keepwise.operators.models import FEATURES_COL, preprocessing
 from keepwise.operators.prepare import enrich
 from keepwise.operators.quality import require_columns
 from keepwise.operators.split import SEED
 from keepwise.operators.stages import NumericScaler
 from keepwise.schema import FEATURES, ID, TARGET
-from keepwise.session import fits_at_once
 
 # Default number of segments, range tried.
 DEFAULT_K = 4
@@ -49,51 +46,29 @@ def cluster_vectors(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return fitted.transform(features).select("_row.*", FEATURES_COL)
 
 
-def best_kmeans(
-    vectors: DataFrame, ks: list[int], seed: int = SEED, starts: int = STARTS, parallelism: int = 8
-) -> dict[int, KMeansModel]:
-    """Per k the cheapest of several runs, the earliest on ties. Cache ``vectors`` before."""
+def check_ks(ks: list[int]) -> None:
     for k in ks:
         if k < 2:
             raise ValueError(f"the number of segments must be at least 2, got {k}")
 
-    def run(task: tuple[int, int]) -> KMeansModel:
-        k, start = task
-        return KMeans(
-            k=k, seed=seed + start, maxIter=300, solver="block", featuresCol=FEATURES_COL
-        ).fit(vectors)
-
-    tasks = [(k, start) for k in ks for start in range(starts)]
-    with ThreadPool(fits_at_once(vectors.count(), parallelism)) as pool:
-        models = in_parallel(pool, run, tasks)
-    return {
-        k: min(
-            (m for (size, _), m in zip(tasks, models, strict=True) if size == k),
-            key=lambda m: m.summary.trainingCost,
-        )
-        for k in ks
-    }
 
+def best_kmeans(vectors: DataFrame, ks: list[int], seed: int = SEED, starts: int = STARTS) -> dict[int, Clusters]:
+    """Per k the cheapest of several runs, the earliest on ties; all runs share their passes over the rows."""
+    check_ks(ks)
+    with Rows(vectors, ID, FEATURES_COL) as rows:
+        return rows.cluster(ks, seed, starts)
 
-def kmeans_scores(
-    vectors: DataFrame,
-    ks=K_RANGE,
-    seed: int = SEED,
-    starts: int = STARTS,
-    parallelism: int = 8,
-) -> DataFrame:
-    """(k, inertia, silhouette) per number of segments."""
-    cached = vectors.select(ID, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if len(cached.limit(3).collect()) < 3:
+
+def kmeans_scores(vectors: DataFrame, ks=K_RANGE, seed: int = SEED, starts: int = STARTS) -> DataFrame:
+    """(k, inertia, silhouette) per number of segments; the silhouette is null where a single cluster was found."""
+    check_ks(list(ks))
+    with Rows(vectors, ID, FEATURES_COL) as rows:
+        if rows.n < 3:
             raise ValueError("too few rows to cluster")
-        models = best_kmeans(cached, list(ks), seed, starts, parallelism)
-        inertia = {k: float(m.summary.trainingCost) for k, m in models.items()}
-        scores = silhouettes(cached, models)
-    finally:
-        cached.unpersist()
-    rows = [(k, inertia[k], scores.get(k)) for k in ks]
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+        found = rows.cluster(list(ks), seed, starts)
+        scores = rows.silhouettes(found)
+    table = [(k, float(found[k].cost), scores[k]) for k in ks]
+    return vectors.sparkSession.createDataFrame(table, "k int, inertia double, silhouette double")
 
 
 def silhouette(labelled: DataFrame, column: str = "segment") -> float:
@@ -101,18 +76,6 @@ def silhouette(labelled: DataFrame, column: str = "segment") -> float:
     return ClusteringEvaluator(featuresCol=FEATURES_COL, predictionCol=column).evaluate(labelled)
 
 
-def silhouettes(vectors: DataFrame, models: dict[int, KMeansModel]) -> dict[int, float | None]:
-    """Silhouette per model; null where the model found a single cluster."""
-    return {
-        k: silhouette(model.setPredictionCol("segment").transform(vectors)) if _parts(model) > 1 else None
-        for k, model in models.items()
-    }
-
-
-def _parts(model: KMeansModel) -> int:
-    return sum(n > 0 for n in model.summary.clusterSizes)
-
-
 def projection(vectors: DataFrame, components: int = 2) -> tuple[PipelineModel, list[float]]:
     """Centred PCA and the share of variance each component explains."""
     centre = StandardScaler(withMean=True, withStd=False, inputCol=FEATURES_COL, outputCol="centred")
@@ -131,21 +94,20 @@ def project(vectors: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def fit_segments(
-    vectors: DataFrame, k: int = DEFAULT_K, seed: int = SEED, starts: int = STARTS, parallelism: int = 8
+    vectors: DataFrame, k: int = DEFAULT_K, seed: int = SEED, starts: int = STARTS
 ) -> tuple[DataFrame, list[float]]:
     """The rows with segment, pc1 and pc2 added, and the explained variance shares.
 
     Labels are computed on the rows themselves, so nothing has to be joined back to them.
     """
-    if k < 2:
-        raise ValueError(f"the number of segments must be at least 2, got {k}")
+    check_ks([k])
     cached = vectors.select(ID, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = best_kmeans(cached, [k], seed, starts, parallelism)[k]
+        model = best_kmeans(cached, [k], seed, starts)[k]
         axes, explained = projection(cached)
     finally:
         cached.unpersist()
-    labelled = model.setPredictionCol("segment").transform(vectors)
+    labelled = model.label(vectors, "segment", FEATURES_COL)
     return project(labelled, axes).drop(FEATURES_COL), explained
 
 

@@ -374,6 +374,11 @@ SELECT 'customers scored' AS what, count(*) AS n FROM features
 UNION ALL SELECT unnest(['scores unlike the votes of the node table', 'trees whose leaves hold other rows than their root',
     'nodes that depend on the partitions of the rows']), 0"""
 
+KMEANS_CERTIFICATE = """
+SELECT 'customers labelled' AS what, count(*) AS n FROM features
+UNION ALL SELECT unnest(['customers nearer to another centre', 'inertia unlike the sum of squared distances',
+    'centre coordinates off the mean of their rows']), 0"""
+
 
 def _profile(digits: int = 6) -> str:
     return f""", seg AS (SELECT *, CAST(tenure % 4 AS INTEGER) AS segment FROM features),
@@ -621,6 +626,7 @@ SELECT "customerID", label, CAST({" + ".join(f"CASE WHEN rn > ceil(n * {f} / 5.0
         "tree_levels": _tree_levels(),
         "forest_certificate": _features(FOREST_CERTIFICATE),
         "logistic_gradient": _gradient(),
+        "kmeans_certificate": _features(KMEANS_CERTIFICATE),
         "class_weights": _features(
             f"SELECT churn_flag AS label, count(*) AS n, "
             f"{r('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM features GROUP BY churn_flag"

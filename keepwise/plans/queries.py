@@ -342,6 +342,29 @@ def kmeans_scores(spark, sf_dir):
     return segments.kmeans_scores(segments.cluster_vectors(customers(spark, sf_dir)))
 
 
+def kmeans_certificate(spark, sf_dir):
+    """(what, n): every customer has the nearest centre, centres are means, the costs add up."""
+    vectors = segments.cluster_vectors(customers(spark, sf_dir))
+    found = segments.best_kmeans(vectors, [4], starts=3)[4]
+    x = found.label(vectors, "segment").select("segment", vector_to_array("features").alias("x"))
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in found.centres])
+    away = F.transform(centres, lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    measured = x.select("segment", "x", away.alias("away"))
+    own = F.get("away", F.col("segment"))
+    rows = measured.agg(F.count("*").alias("n"), F.count_if(own > F.array_min("away") + 1e-9).alias("far"), F.sum(own).alias("cost"))
+    means = x.select("segment", F.posexplode("x").alias("at", "v")).groupBy("segment", "at").agg(F.avg("v").alias("mean"))
+    centre = F.get(F.get(centres, F.col("segment")), F.col("at"))
+    off = means.agg(F.count_if(F.abs(F.col("mean") - centre) > 0.05).alias("off"))
+    cost_off = (F.abs(F.col("cost") - F.lit(found.cost)) > 1e-6 * found.cost).cast("long")
+    counts = [
+        rows.select(F.lit("customers labelled").alias("what"), F.col("n")),
+        rows.select(F.lit("customers nearer to another centre"), F.col("far")),
+        rows.select(F.lit("inertia unlike the sum of squared distances"), cost_off),
+        off.select(F.lit("centre coordinates off the mean of their rows"), F.col("off")),
+    ]
+    return reduce(DataFrame.union, counts)
+
+
 def _fitted_segments(spark, sf_dir, columns=None):
     """The rows with their segments, and the explained variance; fitted once per application."""
 
@@ -583,6 +606,7 @@ QUERIES = {
     "feature_importance": feature_importance,
     "top_features": top_features,
     "kmeans_scores": kmeans_scores,
+    "kmeans_certificate": kmeans_certificate,
     "pca_projection": pca_projection,
     "pca_explained_variance": pca_explained_variance,
     "segment_profiles": segment_profiles,

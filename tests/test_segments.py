@@ -48,7 +48,7 @@ def test_scores_per_k(vectors):
     inertia = [r["inertia"] for r in scores]
     assert [r["k"] for r in scores] == [2, 3, 4] and inertia == sorted(inertia, reverse=True)
     model = sg.best_kmeans(vectors, [3], starts=3)[3]
-    labelled = model.setPredictionCol("c").transform(vectors).orderBy(ID).collect()
+    labelled = model.label(vectors, "c").orderBy(ID).collect()
     labels = np.array([r["c"] for r in labelled])
     assert scores[1]["silhouette"] == pytest.approx(brute_silhouette(matrix(vectors), labels))
     with pytest.raises(ValueError, match="too few"):
@@ -57,6 +57,37 @@ def test_scores_per_k(vectors):
         sg.fit_segments(vectors, 1)
 
 
+def test_runs_end_at_means_of_their_rows(vectors):
+    x = matrix(vectors)
+    found = sg.best_kmeans(vectors, [2, 5], starts=4)
+    again = sg.best_kmeans(vectors.repartition(7), [5, 2], starts=4)
+    for k in (2, 5):
+        centres = found[k].centres
+        assert centres.shape == (k, x.shape[1]) and np.allclose(centres, again[k].centres)
+        d = ((x[:, None, :] - centres[None]) ** 2).sum(-1)
+        own = d.argmin(1)
+        assert found[k].cost == pytest.approx(d.min(1).sum()) and found[k].counts.tolist() == np.bincount(own, minlength=k).tolist()
+        shift = sum(((x[own == c].mean(0) - centres[c]) ** 2).sum() for c in range(k))
+        assert shift <= 1e-4 * x.var(0, ddof=1).mean()
+    # A clustering no single row can improve is not far from any random restart.
+    best = min(lloyd(x, x[np.random.default_rng(s).choice(len(x), 2, replace=False)]) for s in range(30))
+    assert found[2].cost <= 1.05 * best
+
+
+def lloyd(x, centres):
+    for _ in range(50):
+        own = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
+        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+    return ((x[:, None, :] - centres[None]) ** 2).sum(-1).min(1).sum()
+
+
+def test_copies_are_clustered(spark, vectors):
+    same = vectors.limit(1).select("features").crossJoin(spark.range(6)).selectExpr("cast(id as string) as customerID", "features")
+    found = sg.best_kmeans(same, [3], starts=2)[3]
+    assert found.cost == pytest.approx(0, abs=1e-9) and found.counts.tolist() == [6, 0, 0]
+    assert sg.kmeans_scores(same, [3], starts=2).first()["silhouette"] is None
+
+
 def test_segments_and_projection(raw, vectors):
     found, explained = sg.fit_segments(vectors, 3, starts=3)
     rows = found.orderBy(ID).collect()
