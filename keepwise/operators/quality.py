@@ -69,30 +69,26 @@ def data_quality(df: DataFrame) -> DataFrame:
     """One row: kunder, unika_id, dubbletter, tomma_totalcharges.
 
     Equal rows share their id and fingerprint. Ids are shuffled once, to count by (id, fingerprint);
-    everything else follows from those counts. Only if some pair repeats are whole rows compared,
-    and then only those of the repeating pairs.
+    everything else follows from those counts. Whole rows are only compared where a pair repeats; where
+    none does, adaptive execution drops that branch.
     """
     require_columns(df, ID, "TotalCharges")
     marked = df.select("*", F.xxhash64(*df.columns).alias("_print"))
     blank = F.count_if(number(df, "TotalCharges").isNull()).alias("blank")
     pairs = marked.groupBy(ID, "_print").agg(F.count("*").alias("n"), blank)
-    per_id = pairs.groupBy(ID).agg(F.sum("n").alias("n"), F.sum("blank").alias("blank"), F.max("n").alias("most"))
-    found = per_id.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.count(ID).alias("ids"),
-        F.coalesce(F.sum("blank"), F.lit(0)).alias("blank"),
-        F.max("most").alias("most"),
-    ).first()
-    duplicates = 0
-    if (found["most"] or 0) > 1:
-        repeated = pairs.filter("n > 1").select(F.col(ID).alias("_id"), F.col("_print").alias("_p"))
-        same = F.col(ID).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p"))
-        copies = marked.join(repeated, same, "left_semi").groupBy(df.columns).agg(F.count("*").alias("_n"))
-        duplicates = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
-    return df.sparkSession.createDataFrame(
-        [(found["rows"], found["ids"], duplicates, found["blank"])],
-        "kunder long, unika_id long, dubbletter long, tomma_totalcharges long",
+    per_id = pairs.groupBy(ID).agg(F.sum("n").alias("n"), F.sum("blank").alias("blank"))
+    counted = per_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("kunder"),
+        F.count(ID).alias("unika_id"),
+        F.coalesce(F.sum("blank"), F.lit(0)).alias("tomma_totalcharges"),
     )
+    repeated = pairs.filter("n > 1").select(F.col(ID).alias("_id"), F.col("_print").alias("_p"))
+    same = F.col(ID).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p"))
+    copies = marked.join(repeated, same, "left_semi").groupBy(df.columns).agg(F.count("*").alias("_n"))
+    duplicates = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("dubbletter"))
+    # Two relations of one row each.
+    both = counted.withColumn("_one", F.lit(1)).join(duplicates.withColumn("_one", F.lit(1)), "_one")
+    return both.select("kunder", "unika_id", "dubbletter", "tomma_totalcharges")
 
 
 def column_profile(df: DataFrame) -> DataFrame:

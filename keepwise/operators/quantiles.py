@@ -24,8 +24,8 @@ def exact_quantiles(
 
     Intervals around the wanted ranks are narrowed with ``percentile_approx`` and exact counts, one
     scan per round for all columns, until at most ``small`` distinct values remain in each; columns
-    of fewer values need no round. What remains is counted by value and ranked exactly, once for all
-    ranks of an interval. ``totals`` are the columns' non-NULL counts, where the caller has them.
+    of fewer values need no round. What remains is counted by value and ranked exactly, in one query for
+    all intervals. ``totals`` are the columns' non-NULL counts, where the caller has them.
     """
     data = df.select([c.cast("double").alias(name) for name, c in columns.items()])
     if totals is None:
@@ -40,9 +40,7 @@ def exact_quantiles(
     intervals: dict[tuple, list[_Target]] = {}
     for t in targets:
         intervals.setdefault((t.name, t.low, t.high), []).append(t)
-    values = {}
-    for group in intervals.values():
-        values |= _values(data, group)
+    values = _values(data, list(intervals.values()))
     return {name: [values.get((name, p)) for p in probs] for name in columns}
 
 
@@ -95,20 +93,34 @@ def _narrow(data: DataFrame, targets: list[_Target], totals: dict, small: int) -
         open_targets = still_open
 
 
-def _values(data: DataFrame, targets: list[_Target]) -> dict[tuple, float]:
-    """The wanted quantiles of one interval."""
-    t = targets[0]
-    if t.low is not None and t.low == t.high:
-        return {(x.name, x.prob): x.low for x in targets}
-    # At most ``small`` rows in one window.
-    seen = F.sum("n").over(Window.orderBy("value"))
-    counts = data.filter(t.within(t.low, t.high)).groupBy(F.col(t.name).alias("value"))
-    ranked = counts.agg(F.count("*").alias("n")).select("value", "n", (seen + t.below).alias("seen"))
-    wanted = [(F.col("seen") > x.first) & (F.col("seen") - F.col("n") <= x.last) for x in targets]
-    hits = ranked.select("value", "seen", F.array(*wanted).alias("hit")).filter(F.exists("hit", lambda h: h)).collect()
-    out = {}
-    for i, x in enumerate(targets):
-        found = sorted((row["seen"], row["value"]) for row in hits if row["hit"][i])
-        lower, upper = found[0][1], found[-1][1]
-        out[x.name, x.prob] = lower + (upper - lower) * (x.position - x.first)
+def _values(data: DataFrame, intervals: list[list[_Target]]) -> dict[tuple, float]:
+    """The wanted quantiles of all intervals, from one ranking with the interval as key."""
+    out = {(x.name, x.prob): x.low for group in intervals for x in group if x.low is not None and x.low == x.high}
+    intervals = [group for group in intervals if (group[0].name, group[0].prob) not in out]
+    if not intervals:
+        return out
+    first = [group[0] for group in intervals]
+    entries = [
+        F.when(t.within(t.low, t.high), F.struct(F.lit(i).alias("interval"), F.col(t.name).alias("value")))
+        for i, t in enumerate(first)
+    ]
+    long = data.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    counts = long.groupBy("interval", "value").agg(F.count("*").alias("n"))
+    # At most ``small`` rows an interval in a window.
+    inside = F.sum("n").over(Window.partitionBy("interval").orderBy("value"))
+    below = F.get(F.array(*[F.lit(t.below).cast("long") for t in first]), F.col("interval"))
+    ranked = counts.select("interval", "value", "n", (inside + below).alias("seen"))
+    ranks = F.array(
+        *[F.array(*[F.struct(F.lit(x.first).cast("long").alias("first"), F.lit(x.last).cast("long").alias("last")) for x in group]) for group in intervals]
+    )
+    hit = F.exists(
+        F.get(ranks, F.col("interval")),
+        lambda r: (F.col("seen") > r["first"]) & (F.col("seen") - F.col("n") <= r["last"]),
+    )
+    hits = ranked.filter(hit).collect()
+    for i, group in enumerate(intervals):
+        found = sorted((r["seen"], r["n"], r["value"]) for r in hits if r["interval"] == i)
+        for x in group:
+            values = [value for seen, n, value in found if seen > x.first and seen - n <= x.last]
+            out[x.name, x.prob] = values[0] + (values[-1] - values[0]) * (x.position - x.first)
     return out

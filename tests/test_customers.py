@@ -34,9 +34,9 @@ def test_csv_binds_by_name_and_ingest_is_idempotent(spark, tmp_path, raw):
         source.ingest(spark, path, table)
     loaded = source.load(spark, table)
     assert loaded.count() == 60
-    expected = raw.filter(f"{ID} <> '0000:c'")
-    assert loaded.filter(f"{ID} <> '0000:c'").select(REQUIRED).exceptAll(expected).count() == 0
-    assert loaded.filter(f"{ID} = '0000:c'").first()["TotalCharges"] == " "
+    expected = raw.filter(f"{ID} <> 'sub-00064'")
+    assert loaded.filter(f"{ID} <> 'sub-00064'").select(REQUIRED).exceptAll(expected).count() == 0
+    assert loaded.filter(f"{ID} = 'sub-00064'").first()["TotalCharges"] == " "
 
 
 def test_csv_missing_text_becomes_null(spark, tmp_path):
@@ -81,7 +81,7 @@ def test_table_is_built_when_missing(spark, tmp_path):
 def test_export_keeps_blanks(spark, tmp_path, make):
     out = source.export_csv(changed(make, TotalCharges=" "), str(tmp_path / "out"))
     back = source.read_csv(spark, out)
-    assert back.filter(f"{ID} = '0000:c'").first()["TotalCharges"] == " "
+    assert back.filter(f"{ID} = 'sub-00064'").first()["TotalCharges"] == " "
 
 
 def test_validate_accepts_and_rejects(make, raw):
@@ -164,7 +164,7 @@ def test_filters(raw):
         r for r in customer_rows() if r["Contract"] != "Month-to-month" and r["InternetService"] == "Fiber optic"
     ]
     assert kept.count() == len(expected)
-    assert prepare.filter_customers(raw, {"SeniorCitizen": [1]}).count() == 30
+    assert prepare.filter_customers(raw, {"SeniorCitizen": [1]}).count() == 10
     with pytest.raises(KeyError, match="nowhere"):
         prepare.filter_customers(raw, {"nowhere": ["x"]})
     with pytest.raises(ValueError, match="matches no"):

@@ -113,6 +113,8 @@ def test_profile_values(make):
     rows = [dict(r) for r in customer_rows(5)]
     for r, contract in zip(rows, ["Two year", "One year", "One year", "Two year", None], strict=True):
         r["Contract"] = contract
+    for r, left in zip(rows, ["No", "Yes", "No", "Yes", "No"], strict=True):
+        r[TARGET] = left
     one = sg.segment_profiles(make(rows).withColumn("segment", F.lit(0))).first()
     assert one["vanligaste_avtal"] == "One year" and one["antal_kunder"] == 5
     assert one["churn_andel"] == 0.4
