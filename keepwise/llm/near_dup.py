@@ -135,10 +135,8 @@ def _verify(size: int, percent: int):
         words, at, centre = WordHashes(), None, None
         for batch in batches:
             us, vs = [], []
-            for u, salt, v, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, salt, v, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingle_set(text, words, size)
-                if _digest(own) != digest:
-                    continue  # another row with the same doc_id
                 if u == v:
                     at, centre = (u, salt), own
                 elif at != (u, salt):
@@ -153,26 +151,34 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _routed(routes: DataFrame, classes: DataFrame, texts: DataFrame, *extra: str) -> DataFrame:
-    """Texts of classes sent where ``routes`` (id, to) says; only those texts pass the join."""
-    known = classes.select("id", "doc_id", "digest", *extra)
-    gathered = routes.groupBy("id").agg(F.collect_list("to").alias("to")).join(known, "id")
-    return texts.join(gathered, "doc_id").select(F.explode("to").alias("to"), "id", "digest", *extra, "text").select("to.*", "id", "digest", *extra, "text")
+def _routed(routes: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Texts of classes sent where ``routes`` (id, to) says, ``to.copies`` times each; ``copy`` counts these.
+
+    Texts are found by row number, so a doc_id or a text that many rows share is no group here, and only
+    texts with a route pass the join. Copies are made after it: a route is one entry, however many it stands for.
+    ``known`` has more columns by id.
+    """
+    gathered = routes.groupBy("id").agg(F.collect_list("to").alias("to"))
+    more = [c for c in known.columns if c != "id"] if known is not None else []
+    gathered = gathered.join(known, "id") if more else gathered
+    sent = texts.join(gathered, "id").select(F.explode("to").alias("to"), "id", *more, "text")
+    return sent.select("to.*", F.explode(F.sequence(F.lit(0), F.col("to.copies") - 1)).alias("copy"), "id", *more, "text")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough.
 
     Every text goes once to each centre u it is compared with; a centre with many members is dealt
     to several tasks.
     """
     counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt")
-    members = pairs.join(counts, "u").select(F.struct("u", salt, F.lit(1).alias("member")).alias("to"), F.col("v").alias("id"))
-    copies = counts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    centres = copies.select(F.struct("u", "salt", F.lit(0).alias("member")).alias("to"), F.col("u").alias("id"))
-    dealt = _routed(members.unionByName(centres), classes, texts).repartition("u", "salt").sortWithinPartitions("u", "salt", "member", "id")
-    return dealt.select("u", "salt", "id", "digest", "text").mapInArrow(_verify(size, percent), "u long, v long")
+    salt, one = F.pmod(F.xxhash64("v"), "salts").cast("int"), F.lit(1)
+    members = pairs.join(counts, "u").select(F.col("v").alias("id"), F.struct("u", salt.alias("salt"), one.alias("member"), one.alias("copies")).alias("to"))
+    first = F.lit(0)
+    centres = counts.select(F.col("u").alias("id"), F.struct("u", first.alias("salt"), first.alias("member"), F.col("salts").alias("copies")).alias("to"))
+    dealt = _routed(members.unionByName(centres), texts).withColumn("salt", F.col("salt") + F.col("copy"))
+    ordered = dealt.repartition("u", "salt").sortWithinPartitions("u", "salt", "member", "id")
+    return ordered.select("u", "salt", "id", "text").mapInArrow(_verify(size, percent), "u long, v long")
 
 
 def _verify_parts(size: int, percent: int, least: int):
@@ -210,10 +216,8 @@ def _verify_parts(size: int, percent: int, least: int):
         words, at, rows = WordHashes(), None, []
         for batch in batches:
             found = []
-            for part, x, y, member, i, digest, sketch, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, x, y, member, i, sketch, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingle_set(text, words, size)
-                if _digest(own) != digest:
-                    continue  # another row with the same doc_id
                 if (part, x, y) != at:
                     found += compare(rows, at is not None and at[0] >= 0)
                     at, rows = (part, x, y), []
@@ -242,17 +246,18 @@ def verified_parts(near: DataFrame, parts: DataFrame, classes: DataFrame, texts:
     def block(of: str, n: str):
         return F.pmod(F.xxhash64(of), n).cast("int")
 
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    members = inside.select("id", "part").join(shape, "part").withColumn("x", every("xs")).withColumn("y", block("id", "ys"))
-    asking = near.join(shape, "part").withColumnRenamed("x", "id").withColumn("x", block("id", "xs")).withColumn("y", every("ys"))
-
-    def routes(df: DataFrame, member: int) -> DataFrame:
-        return df.select("id", F.struct("part", "x", "y", F.lit(member).alias("member")).alias("to"))
-
-    dealt = _routed(routes(members, 1).unionByName(routes(asking, 0)), classes, texts, "sketch").repartition("part", "x", "y")
-    ordered = dealt.sortWithinPartitions("part", "x", "y", "id").select("part", "x", "y", "member", "id", "digest", "sketch", "text")
+    def routes(df: DataFrame, member: int, x, y, copies: str) -> DataFrame:
+        to = F.struct("part", x.alias("x"), y.alias("y"), F.lit(member).alias("member"), F.col(copies).alias("copies"))
+        return df.select("id", to.alias("to"))
+
+    # A member meets every block of askers and an asker every block of members: ``copy`` is that block.
+    members = routes(inside.select("id", "part").join(shape, "part"), 1, F.lit(0), block("id", "ys"), "xs")
+    asking = routes(near.withColumnRenamed("x", "id").join(shape, "part"), 0, block("id", "xs"), F.lit(0), "ys")
+    x = F.when(F.col("member") == 1, F.col("copy")).otherwise(F.col("x"))
+    y = F.when(F.col("member") == 1, F.col("y")).otherwise(F.col("copy"))
+    sent = _routed(members.unionByName(asking), texts, classes.select("id", "sketch"))
+    dealt = sent.select("part", x.alias("x"), y.alias("y"), "member", "id", "sketch", "text").repartition("part", "x", "y")
+    ordered = dealt.sortWithinPartitions("part", "x", "y", "id")
     return ordered.mapInArrow(_verify_parts(size, percent, least), "u long, v long")
 
 
@@ -358,12 +363,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid
     """uid, doc_id, n_shingles, component_id, kept and first for every row of ``docs`` (doc_id, text).
 
     ``kept`` marks rows with the smallest doc_id of their component, ``first`` one row of each component.
-    ``uid`` names a unique long column of ``docs``; without it rows are numbered here.
+    ``uid`` names a unique, stable long column of ``docs``; without it rows are numbered and written here.
     """
     percent, m = round(100 * similarity), tables_per_side(similarity)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    number = F.monotonically_increasing_id() if uid is None else F.col(uid)
-    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    text, number = F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id() if uid is None else F.col(uid)
+    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    # Row numbers must hold for a second look at the texts, so rows numbered here are written.
+    rows = stored(rows, "numbered") if uid is None else rows
+    texts = rows.select(F.col("uid").alias("id"), "text")
     schema = "uid long, doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     signed = stored(rows.mapInArrow(_sign(size, m), schema), "signed")
     known = signed.filter("digest is not null and doc_id is not null")
@@ -375,7 +382,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid
     # Every class against the smallest of its group: no more pairs than rows.
     centres = groups.groupBy("table").agg(F.min("id").alias("u"), F.max("id").alias("hi")).filter("u < hi").drop("hi")
     pairs = stored(groups.join(centres, "table").filter("id <> u").select("u", F.col("id").alias("v")).distinct(), "pairs")
-    links = stored(verified(pairs, classes, texts, size, percent), "verified")
+    links = stored(verified(pairs, texts, size, percent), "verified")
     found = stored(components(links), "components")
 
     rest = stored(open_groups(groups, found), "open")

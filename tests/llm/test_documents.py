@@ -70,6 +70,26 @@ def test_one_of_each_group_stays(documents):
     assert ids == Counter([0, 4, 5, 6, 7, 9, 10, 11, 12, 12, 13, None, None, 14, 15])
 
 
+def test_routed_texts_grow_with_the_rows_that_share_an_id(spark, monkeypatch):
+    counts = []
+
+    def counting(*args):
+        out = routed(*args)
+        counts[-1] += out.count()
+        return out
+
+    routed = near_dup._routed
+    monkeypatch.setattr(near_dup, "_routed", counting)
+    base = [f"w{i}" for i in range(300)]
+    for n in (50, 200):
+        counts.append(0)
+        # Near copies and equal rows, all under one id.
+        texts = [" ".join([*base[: i % n], f"x{i % n}", *base[i % n + 1 :]]) for i in range(2 * n)]
+        found = near_dup.op1(spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")).collect()
+        assert len(found) == 2 * n and {r.component_id for r in found} == {7}
+    assert counts[1] <= 5 * counts[0]
+
+
 def test_tensored_keys_meet_as_often_as_they_should():
     m = near_dup.tables_per_side(0.85)
     assert (1 - (1 - 0.85**near_dup.HALF) ** m) ** 2 >= 1 - near_dup.MISS
@@ -235,6 +255,45 @@ def test_mix_comes_near_its_targets(spark, documents, nothing):
     assert mixing.mix(documents).columns == documents.columns
 
 
+@pytest.mark.parametrize(("sf", "gap"), [("sf0.01", 0.001), ("sf0.1", 0.0001)])
+def test_mix_of_the_given_tables(spark, sf, gap):
+    """50 and 500 documents a source, of very different lengths."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    taken, goal = Counter(), {}
+    for r in mixing.op10(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - g) <= gap * g + 1 for s, g in goal.items())
+
+
+def test_blocks_keep_their_bound_when_rows_share_an_id(spark):
+    """A third of the rows has no id; they spread over the blocks, and however the rows lie they are decided alike."""
+    rows_ = [(None if i % 3 == 0 else i, "s", 5 + i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows_, "unit long, source string, size long")
+    same = mixing._numbered(df.repartition(5)).collect()
+    groups = Counter((r.unit, r.size) for r in same)
+    assert {(r.unit, r.size, r.same) for r in same} == {(*k, i) for k, n in groups.items() for i in range(n)}
+    first, again = (rows(mixing.copies(x, block_rows=200), "unit", "size", "copies") for x in (df, df.repartition(7)))
+    assert first == again
+
+
+def test_a_long_document_is_decided_against_all_others():
+    import random
+
+    rng = random.Random(5)
+    size = [3000.0] + [float(rng.randrange(1, 60)) for _ in range(400)]
+    chance = [0.5] * len(size)
+    words_, number = sum(c * s for c, s in zip(chance, size, strict=True)), sum(chance)
+    mixing.settle_large(chance, size, rng)
+    assert chance[0] in (0, 1)
+    assert sum(c * s for c, s in zip(chance, size, strict=True)) == pytest.approx(words_)
+    assert sum(chance) == pytest.approx(number)
+    chance, size = [0.5, 0.25, 0.75, 1.0], [10.0, 4.0, 8.0, 3.0]
+    mixing.land(chance, size)
+    assert chance == [0.0, 1.0, 1.0, 1.0]  # 12 words
+
+
 def test_flight_keeps_both_totals():
     import random
 
