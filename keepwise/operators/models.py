@@ -73,14 +73,15 @@ def feature_names(model: PipelineModel) -> list[str]:
 class Candidate:
     """A model family: how to build it from parameters and row count, and its grid.
 
-    ``nested`` names parameters whose smaller values a model fitted with the largest one contains;
-    ``reduce`` takes such a model out of it.
+    ``nested`` names parameters whose smaller values a model fitted with the largest one contains,
+    ``nested_up`` those whose larger values one fitted with the smallest contains; ``reduce`` takes such a model out of it.
     """
 
     name: str
     build: Callable[[dict, int], Estimator]
     grid: dict[str, list]
     nested: tuple[str, ...] = ()
+    nested_up: tuple[str, ...] = ()
     reduce: Callable[[Model, dict], Model] = lambda model, _: model
 
     def settings(self) -> list[dict]:
@@ -90,10 +91,10 @@ class Candidate:
         """Parameters to fit with, each with the numbers of the settings it serves."""
         served: dict[tuple, list[int]] = {}
         for number, setting in enumerate(self.settings()):
-            served.setdefault(tuple(v for k, v in setting.items() if k not in self.nested), []).append(number)
+            served.setdefault(tuple(v for k, v in setting.items() if k not in self.nested + self.nested_up), []).append(number)
         settings = self.settings()
-        largest = {k: max(self.grid[k]) for k in self.nested}
-        return [(settings[numbers[0]] | largest, numbers) for numbers in served.values()]
+        widest = {k: max(self.grid[k]) for k in self.nested} | {k: min(self.grid[k]) for k in self.nested_up}
+        return [(settings[numbers[0]] | widest, numbers) for numbers in served.values()]
 
 
 _COLUMNS = {"featuresCol": FEATURES_COL, "labelCol": LABEL, "weightCol": WEIGHT}
@@ -123,12 +124,12 @@ def candidates(seed: int = SEED) -> list[Candidate]:
         )
 
     def smaller(model, params):
-        return model.truncated(params.get("n_estimators", 1), params["max_depth"])
+        return model.truncated(params.get("n_estimators", 1), params["max_depth"], params["min_samples_split"])
 
     # Model names and grids.
     return [
         Candidate("Logistisk regression", logistic, {"C": [0.01, 0.1, 1, 10]}),
-        Candidate("Beslutsträd", trees, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}, ("max_depth",), smaller),
+        Candidate("Beslutsträd", trees, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}, ("max_depth",), ("min_samples_split",), smaller),
         Candidate(
             "Random forest",
             trees,
@@ -139,6 +140,7 @@ def candidates(seed: int = SEED) -> list[Candidate]:
                 "min_samples_split": [2, 20],
             },
             ("n_estimators", "max_depth"),
+            ("min_samples_split",),
             smaller,
         ),
     ]
