@@ -1,7 +1,7 @@
 """K-means for several numbers of clusters and several starts at once.
 
-Rows are packed once and stay cached. Every pass over them serves all runs: a task measures its rows against the centres
-of all runs with one matrix product and returns sums per run, which Spark adds up per run; only centres, whose number the
+Rows are packed once, in blocks, and stay cached. Every pass over them serves all runs: a task measures a block against the
+centres of all runs with one matrix product, adds its rows up per cluster with another and returns sums per run, which Spark adds up per run; only centres, whose number the
 caller chooses, pass the driver.
 
 Seeds are drawn by k-means++. A draw in proportion to a row's squared distance is an exponential race: the smallest
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 ITERATIONS = 300
 TOLERANCE = 1e-4
-PARTITION_ROWS = 20_000
-BLOCK = 4096  # rows measured at once
+PARTITION_ROWS = 40_000
+BLOCK = 4096  # rows packed and measured at once
 
 _RUN = "run int, sums binary, counts binary, squares binary, cost double"
 
@@ -51,10 +51,17 @@ def _uniform(keys: np.ndarray, seed: int, start: int, step: int) -> np.ndarray:
 
 def _blocks(batches, size: int):
     for b in batches:
-        x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, size)
-        keys = b.column(0).to_numpy(zero_copy_only=False)
-        for lo in range(0, len(x), BLOCK):
-            yield keys[lo : lo + BLOCK], x[lo : lo + BLOCK]
+        for keys, x in zip(b.column(0), b.column(1), strict=True):
+            yield np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, size)
+
+
+def _nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per column of ``d`` the row of its least value, the first of several, and that value."""
+    least, own = d[0].copy(), np.zeros(d.shape[1], np.int32)
+    for j in range(1, len(d)):
+        np.copyto(own, j, where=d[j] < least)
+        np.minimum(least, d[j], out=least)
+    return own, least
 
 
 @dataclass(frozen=True)
@@ -95,10 +102,12 @@ class Rows:
 
         def pack(batches):
             for b in batches:
-                x = np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "x"])
+                keys, x = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+                starts = range(0, b.num_rows, BLOCK)
+                columns = [pa.array([part[lo : lo + BLOCK].tobytes() for lo in starts], pa.binary()) for part in (keys, x)]
+                yield pa.RecordBatch.from_arrays(columns, names=["keys", "x"])
 
-        self.df = packed.mapInArrow(pack, "key long, x binary").persist(StorageLevel.MEMORY_AND_DISK)
+        self.df = packed.mapInArrow(pack, "keys binary, x binary").persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> Rows:
         return self
@@ -117,7 +126,8 @@ class Rows:
                     d = _distances(x, centres).min(axis=1) if step else np.ones(len(x))
                     with np.errstate(divide="ignore"):
                         score = -np.log(_uniform(keys, seed, start, step)) / d
-                    i = int(np.lexsort((keys, score))[0])
+                    at = np.flatnonzero(score == score.min())
+                    i = int(at[keys[at].argmin()])
                     found = (float(score[i]), int(keys[i]), x[i].tobytes())
                     best[start] = min(best.get(start, found), found)
             rows = [(start, *b) for start, b in best.items()]
@@ -136,17 +146,21 @@ class Rows:
         centres = np.vstack([runs[r] for r in numbers])
 
         def measure(batches):
-            sums, squares, counts = np.zeros((len(centres), size)), np.zeros(len(centres)), np.zeros(len(centres), np.int64)
-            cost = np.zeros(len(numbers))
+            # Columns: sums, rows and sums of squares.
+            found, cost = np.zeros((len(centres), size + 2)), np.zeros(len(numbers))
+            twice, own_squares = -2 * centres, (centres**2).sum(axis=1)[:, None]
             for _, x in _blocks(batches, size):
-                d, norms = _distances(x, centres), (x**2).sum(axis=1)
+                norms = (x**2).sum(axis=1)
+                d = twice @ x.T  # the squared distance less the row's own square
+                d += own_squares
+                member = np.empty_like(d)
                 for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    own = d[:, lo:hi].argmin(axis=1)
-                    member = (own[:, None] == np.arange(hi - lo)).astype(np.float64)
-                    sums[lo:hi] += member.T @ x
-                    squares[lo:hi] += member.T @ norms
-                    counts[lo:hi] += np.bincount(own, minlength=hi - lo)
-                    cost[i] += d[np.arange(len(x)), lo + own].sum()
+                    own, least = _nearest(d[lo:hi])
+                    np.equal(own, np.arange(hi - lo)[:, None], out=member[lo:hi])
+                    cost[i] += np.maximum(least + norms, 0.0).sum()
+                found += member @ np.column_stack([x, np.ones(len(x)), norms])
+            sums, squares = np.ascontiguousarray(found[:, :size]), found[:, size + 1]
+            counts = np.rint(found[:, size]).astype(np.int64)
             for i, r in enumerate(numbers):
                 part = slice(ends[i], ends[i + 1])
                 columns = [[r], [sums[part].tobytes()], [counts[part].tobytes()], [squares[part].tobytes()], [cost[i]]]

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import customer_rows
+from keepwise.operators import kmeans as km
 from keepwise.operators import pricing as pc
 from keepwise.operators import segments as sg
 from keepwise.schema import ID, PRICE_FEATURES, SIMPLE_FEATURES, TARGET
@@ -57,6 +58,21 @@ def test_scores_per_k(vectors):
         sg.fit_segments(vectors, 1)
 
 
+def test_rows_stay_packed_in_blocks(spark, vectors):
+    """A pass reads one entry a block, not one a row, and adds up what plain numpy does."""
+    x, rng = matrix(vectors), np.random.default_rng(1)
+    runs = {0: x[rng.permutation(len(x))[:3]], 1: x[rng.permutation(len(x))[:5]]}
+    with km.Rows(vectors, ID, "features") as rows:
+        assert rows.df.count() <= vectors.rdd.getNumPartitions() and rows.n == len(x)
+        found = rows.sums(runs)
+    for r, centres in runs.items():
+        d = ((x[:, None, :] - centres) ** 2).sum(-1)
+        own = d.argmin(1)
+        assert found[r].cost == pytest.approx(d.min(1).sum()) and found[r].counts.tolist() == np.bincount(own, minlength=len(centres)).tolist()
+        assert found[r].sums == pytest.approx(np.stack([x[own == c].sum(0) for c in range(len(centres))]))
+        assert found[r].squares == pytest.approx(np.array([(x[own == c] ** 2).sum() for c in range(len(centres))]))
+
+
 def test_runs_end_at_means_of_their_rows(vectors):
     x = matrix(vectors)
     found = sg.best_kmeans(vectors, [2, 5], starts=4)
