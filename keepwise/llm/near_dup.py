@@ -14,7 +14,8 @@ pair at the threshold meets in no table with probability ``MISS`` at most.
 4. Where a group still holds several components, members of different components may be linked
    without being linked to the smallest. Classes without a link get a home, the largest open group they
    are in; components are homes of their own. Members of open groups are compared by sketch, one
-   byte per minhash, in blocks of ``BLOCK_MEMBERS``. A class that cannot be ruled out for a member of a
+   byte per minhash, in blocks; a group of k members has sqrt(k / ``SKETCH_BLOCK``) of them, so a member is copied
+   seldom and a block stays small. A class that cannot be ruled out for a member of a
    home (within ``SLACK`` standard deviations of the threshold, and by set size) leaves the task as
    one row (class, home), however many members it resembles, and is then compared with all
    members of that home on full sets, again in blocks. Only links leave those tasks.
@@ -35,9 +36,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepwise.llm.chunks import chunked, of_rows
 from keepwise.llm.common import WordHashes, mix64, stored
 from keepwise.llm.components import components
 
@@ -45,6 +47,7 @@ HALF = 4
 MISS = 3e-4
 MEMBERS_PER_TASK = 2000
 BLOCK_MEMBERS = 512
+SKETCH_BLOCK = 2048  # members of a group whose sketches are compared in one task
 SLACK = 5.0
 BLOCK = 1 << 15
 
@@ -154,14 +157,15 @@ def _verify(size: int, percent: int):
 def _routed(routes: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Texts of classes sent where ``routes`` (id, to) says, ``to.copies`` times each; ``copy`` counts these.
 
-    Texts are found by row number, so a doc_id or a text that many rows share is no group here, and only
-    texts with a route pass the join. Copies are made after it: a route is one entry, however many it stands for.
-    ``known`` has more columns by id.
+    ``texts`` (chunk, row, text) are found by row number where they were written, so a doc_id or a text that many rows
+    share is no group here, and only texts with a route are moved. Copies are made after the join: a route is one entry,
+    however many it stands for. ``known`` has more columns by id.
     """
     gathered = routes.groupBy("id").agg(F.collect_list("to").alias("to"))
     more = [c for c in known.columns if c != "id"] if known is not None else []
     gathered = gathered.join(known, "id") if more else gathered
-    sent = texts.join(gathered, "id").select(F.explode("to").alias("to"), "id", *more, "text")
+    sent = of_rows(texts, gathered.withColumnRenamed("id", "row"))
+    sent = sent.select(F.explode("to").alias("to"), F.col("row").alias("id"), *more, "text")
     return sent.select("to.*", F.explode(F.sequence(F.lit(0), F.col("to.copies") - 1)).alias("copy"), "id", *more, "text")
 
 
@@ -344,9 +348,14 @@ def _plausible(least: int, percent: int):
     return run
 
 
+def sketch_blocks(k: Column) -> Column:
+    """Blocks of a group of k members: each member is copied so often, and a block has sqrt(k * SKETCH_BLOCK) members."""
+    return F.ceil(F.sqrt(k / SKETCH_BLOCK)).cast("int")
+
+
 def open_pairs(rest: DataFrame, classes: DataFrame, parts: DataFrame, m: int, percent: int) -> DataFrame:
     """Distinct (x, part): classes and homes that a sketch cannot rule out."""
-    blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
+    blocks = sketch_blocks(F.col("k"))
     rows = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     weights = parts.groupBy("part").agg(F.count("*").alias("weight"))
@@ -359,18 +368,15 @@ def open_pairs(rest: DataFrame, classes: DataFrame, parts: DataFrame, m: int, pe
     return ordered.mapInArrow(_plausible(least_alike(m, percent), percent), "x long, part long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid: str | None = None) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id, kept and first for every row of ``docs`` (doc_id, text).
+def near_duplicates(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id, kept and first for every row of the chunked table ``numbered`` (doc_id, text).
 
-    ``kept`` marks rows with the smallest doc_id of their component, ``first`` one row of each component.
-    ``uid`` names a unique, stable long column of ``docs``; without it rows are numbered and written here.
+    ``uid`` is the row of the table. ``kept`` marks rows with the smallest doc_id of their component, ``first`` one row of
+    each component.
     """
     percent, m = round(100 * similarity), tables_per_side(similarity)
-    text, number = F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id() if uid is None else F.col(uid)
-    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text)
-    # Row numbers must hold for a second look at the texts, so rows numbered here are written.
-    rows = stored(rows, "numbered") if uid is None else rows
-    texts = rows.select(F.col("uid").alias("id"), "text")
+    texts = numbered.select("chunk", "row", F.col("text").cast("binary").alias("text"))
+    rows = numbered.select(F.col("row").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "uid long, doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     signed = stored(rows.mapInArrow(_sign(size, m), schema), "signed")
     known = signed.filter("digest is not null and doc_id is not null")
@@ -404,14 +410,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, uid
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns it had."""
-    uid = "__uid"
-    while uid in docs.columns:
-        uid += "_"
-    numbered = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, size, similarity, uid).filter("first").select(F.col("uid").alias(uid))
-    return numbered.join(found, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The columns travel as one, so that none of their names can clash.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    numbered = chunked(docs.select("doc_id", "text", others))
+    found = near_duplicates(numbered, size, similarity).filter("first").select(F.col("uid").alias("row"))
+    kept = of_rows(numbered, found, "left_semi")
+    return kept.select(*["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:
     """Three-word shingles, similarity 0.85."""
-    return near_duplicates(docs, 3, 0.85).drop("uid", "first")
+    return near_duplicates(chunked(docs.select("doc_id", "text")), 3, 0.85).drop("uid", "first")

@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from awkward import awkward, documents, nothing  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keepwise.llm import bpe, license_scan, mixing, near_dup, quality, substring_dedup
+from keepwise.llm import bpe, chunks, license_scan, mixing, near_dup, quality, substring_dedup
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -90,6 +91,37 @@ def test_routed_texts_grow_with_the_rows_that_share_an_id(spark, monkeypatch):
     assert counts[1] <= 5 * counts[0]
 
 
+def test_texts_are_found_where_they_were_written(spark):
+    """Rows are joined by chunk inside the buckets: no exchange of texts, whichever side is larger."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(90).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(3)
+        table = chunks.chunked(docs)
+        asked = table.filter("doc_id % 3 = 0").groupBy("row").agg(F.max("doc_id").alias("n"))
+        for found in (chunks.of_rows(table, asked), chunks.of_rows(table, asked.select("row"), "left_semi")):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            scan = next(i for i, line in enumerate(plan.splitlines()) if "text#" in line and "FileScan" in line)
+            assert "Bucketed: true" in plan and not any("Exchange" in line for line in plan.splitlines()[:scan])
+            assert sorted((r.doc_id, r.text) for r in found.collect()) == [(i, f"text {i}") for i in range(0, 90, 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_copies_of_members_grow_slower_than_their_square(spark):
+    sizes = [near_dup.SKETCH_BLOCK * n for n in (1, 4, 100)]
+    df = spark.createDataFrame([(k,) for k in sizes], "k long")
+    assert [r.n for r in df.select(near_dup.sketch_blocks(F.col("k")).alias("n")).collect()] == [1, 2, 10]
+
+
+def test_links_between_blocks_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SKETCH_BLOCK", 1)
+    texts = [[f"w{i + 12 * k}" for i in range(200)] for k in range(12)]
+    pairs = [(100 - k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(near_dup.op1(df), "doc_id", "n_shingles", "component_id") == linked(pairs, 3, 85)
+
+
 def test_tensored_keys_meet_as_often_as_they_should():
     m = near_dup.tables_per_side(0.85)
     assert (1 - (1 - 0.85**near_dup.HALF) ** m) ** 2 >= 1 - near_dup.MISS
