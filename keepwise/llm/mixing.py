@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keepwise.llm.chunks import chunked, of_rows
 from keepwise.llm.common import stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -232,17 +233,13 @@ def copies(units: DataFrame, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...]
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", **rule) -> DataFrame:
     """The documents, each repeated as often as the mix takes it; the columns stay as they were."""
-    names = docs.columns
-    row = "__row"
-    while row in names:
-        row += "_"
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix_rows")
-    # The mixture depends on ids and texts, not on how the rows were numbered.
-    unit = F.xxhash64("doc_id", text).alias("unit")
-    units = numbered.select(unit, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(row).alias("at"))
-    taken = copies(units, keep=("at",), **rule).filter("copies > 0").select(F.col("at").alias(row), F.col("copies").alias(row + "n"))
-    repeated = numbered.join(taken, row).withColumn(row + "k", F.explode(F.sequence(F.lit(1), F.col(row + "n"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in names])
+    # The mixture depends on ids and texts, not on how the rows are numbered.
+    unit, own = F.xxhash64("doc_id", text).alias("unit"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    numbered = chunked(docs.select(unit, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), own))
+    units = numbered.select("unit", "source", "size", F.col("row").alias("at"))
+    taken = copies(units, keep=("at",), **rule).filter("copies > 0").select(F.col("at").alias("row"), "copies")
+    repeated = of_rows(numbered, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:
