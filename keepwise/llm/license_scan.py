@@ -63,8 +63,9 @@ def runs(df: DataFrame, words: str, *keep: str) -> DataFrame:
     """One row per run of GRAM words: its position, its words and their hash."""
     w = F.col(words)
     shifted = [F.slice(w, i + 1, F.size(w)).alias(f"w{i}") for i in range(GRAM)]
-    rows = df.filter(F.size(w) >= GRAM).select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "run"))
-    # The last GRAM - 1 runs are cut off by the end of the text.
+    rows = df.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "run"))
+    # The last GRAM - 1 runs are cut off by the end of the text, and all runs of a shorter one. A filter by the number
+    # of words would be moved to where rows are read, and cut every text into words a second time.
     rows = rows.filter(F.col(f"run.w{GRAM - 1}").isNotNull())
     parts = [F.col(f"run.w{i}").alias(f"w{i}") for i in range(GRAM)]
     return rows.select(*keep, "at", *parts).withColumn("h", F.xxhash64(*[f"w{i}" for i in range(GRAM)]))

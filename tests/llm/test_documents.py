@@ -207,6 +207,12 @@ def test_license_scan(documents, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_texts_are_cut_into_words_once_for_the_votes(documents):
+    keyed = documents.select("doc_id", "text")
+    plan = license_scan.votes(keyed, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_a_notice_with_changes_is_found(spark):
     notice = license_scan.NOTICES[0][0].split()
     changed = [*notice[:9], "dear", *notice[9:]]
