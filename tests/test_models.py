@@ -240,7 +240,7 @@ def test_run_log(spark, tmp_path):
 
 def test_stream_scores_each_row_once(spark, raw, fitted, tmp_path):
     arriving, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    raw.filter(f"{ID} < '0030'").repartition(3).write.parquet(arriving)
+    raw.filter(f"{ID} < 'sub-00082'").repartition(3).write.parquet(arriving)
 
     def run():
         score_stream(
@@ -249,7 +249,7 @@ def test_stream_scores_each_row_once(spark, raw, fitted, tmp_path):
         return spark.read.parquet(sink)
 
     assert run().count() == 30
-    raw.filter(f"{ID} >= '0030'").write.mode("append").parquet(arriving)
+    raw.filter(f"{ID} >= 'sub-00082'").write.mode("append").parquet(arriving)
     run()
     logged = run()
     assert logged.count() == 60 and logged.select(ID).distinct().count() == 60
