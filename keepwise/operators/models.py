@@ -28,7 +28,7 @@ from keepwise.operators.prepare import enrich
 from keepwise.operators.quality import check_columns
 from keepwise.operators.split import FOLDS, SEED, with_folds
 from keepwise.operators.stages import BalancedWeights, ModeImputer, NumericScaler
-from keepwise.operators.trees import HistogramTrees, NodeTableModel
+from keepwise.operators.trees import Binned, HistogramTrees, NodeTableModel
 from keepwise.schema import CATEGORICAL, ID, LABEL, NUMERIC, PROBABILITY, SchemaError
 from keepwise.session import fits_at_once, table_path
 
@@ -74,7 +74,7 @@ class Candidate:
     """A model family: how to build it from parameters and row count, and its grid.
 
     ``nested`` names parameters whose smaller values a model fitted with the largest one contains,
-    ``nested_up`` those whose larger values one fitted with the smallest contains; ``reduce`` takes such a model out of it.
+    ``nested_up`` those whose larger values one fitted with the smallest contains; ``sizes`` says which part of it a setting is.
     """
 
     name: str
@@ -82,7 +82,7 @@ class Candidate:
     grid: dict[str, list]
     nested: tuple[str, ...] = ()
     nested_up: tuple[str, ...] = ()
-    reduce: Callable[[Model, dict], Model] = lambda model, _: model
+    sizes: Callable[[dict], tuple[int, int, int]] | None = None
 
     def settings(self) -> list[dict]:
         return [dict(zip(self.grid, values, strict=True)) for values in product(*self.grid.values())]
@@ -123,13 +123,13 @@ def candidates(seed: int = SEED) -> list[Candidate]:
             **_COLUMNS,
         )
 
-    def smaller(model, params):
-        return model.truncated(params.get("n_estimators", 1), params["max_depth"], params["min_samples_split"])
+    def sizes(params):
+        return params.get("n_estimators", 1), params["max_depth"], params["min_samples_split"]
 
     # Model names and grids.
     return [
         Candidate("Logistisk regression", logistic, {"C": [0.01, 0.1, 1, 10]}),
-        Candidate("Beslutsträd", trees, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}, ("max_depth",), ("min_samples_split",), smaller),
+        Candidate("Beslutsträd", trees, {"max_depth": [3, 5, 8], "min_samples_split": [2, 20, 50]}, ("max_depth",), ("min_samples_split",), sizes),
         Candidate(
             "Random forest",
             trees,
@@ -141,7 +141,7 @@ def candidates(seed: int = SEED) -> list[Candidate]:
             },
             ("n_estimators", "max_depth"),
             ("min_samples_split",),
-            smaller,
+            sizes,
         ),
     ]
 
@@ -166,6 +166,27 @@ def positive_score(model: Model, rows: DataFrame, *kept: str) -> DataFrame:
     return model.transform(rows).select(*kept, vector_to_array(F.col("probability"))[1].alias(PROBABILITY))
 
 
+def served_scores(family: Candidate, model: Model, rows: DataFrame, served: list[tuple[int, dict]]) -> DataFrame:
+    """(label, churn_probability, setting) of all settings that a fitted model serves, from one pass over the rows."""
+    if family.sizes is None:
+        (number, _), = served
+        return positive_score(model, rows, LABEL).withColumn("setting", F.lit(number))
+    chances = model.truncated_chances(rows.sparkSession, [family.sizes(setting) for _, setting in served])
+    each = rows.select(LABEL, chances.alias("chances")).select(LABEL, F.posexplode("chances").alias("k", PROBABILITY))
+    numbers = F.array(*[F.lit(number) for number, _ in served])
+    return each.select(LABEL, PROBABILITY, F.get(numbers, F.col("k")).alias("setting"))
+
+
+def binned_rows(estimators: list[Estimator], rows: DataFrame) -> Binned | None:
+    """The rows in bins if one of the estimators grows trees; all of them share the bins."""
+    growing = [e for e in estimators if isinstance(e, HistogramTrees)]
+    return growing[0].binned(rows) if growing else None
+
+
+def fit_on(estimator: Estimator, rows: DataFrame, binned: Binned | None) -> Model:
+    return estimator.fit_binned(binned) if isinstance(estimator, HistogramTrees) else estimator.fit(rows)
+
+
 def grid_scores(
     train: DataFrame,
     families: list[Candidate],
@@ -177,8 +198,8 @@ def grid_scores(
 
     Preprocessing and class weights are learned inside each fold, once for the whole grid. The
     vectors of the folds under way stay cached while their models are fitted by parallel jobs;
-    the row count decides how many folds and fits share the cluster, down to one. Each fit writes the scores
-    of its held-out rows; all folds and settings are then ranked in one query.
+    the row count decides how many folds and fits share the cluster, down to one. Rows are put in bins once a fold.
+    Each fit writes the scores of its held-out rows by all settings it serves; all folds and settings are then ranked in one query.
     """
     spark = train.sparkSession
     kept = [ID, *NUMERIC, *CATEGORICAL, LABEL]
@@ -196,14 +217,21 @@ def grid_scores(
         fitted = Pipeline(stages=training_stages()).fit(held.filter(~F.col("_held")))
         vectors = fitted.transform(held).select("_held", ID, LABEL, WEIGHT, FEATURES_COL)
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-        return fold, vectors, vectors.filter(~F.col("_held")).count()
+        fit_rows = vectors.filter(~F.col("_held"))
+        n = fit_rows.count()
+        return fold, vectors, n, binned_rows([family.build(largest, n) for family, largest, _ in tasks], fit_rows)
 
     def run(task) -> None:
-        (family, largest, served), (fold, vectors, n) = task
-        fitted = family.build(largest, n).fit(vectors.filter(~F.col("_held")))
-        for number, setting in served:
-            scores = positive_score(family.reduce(fitted, setting), vectors.filter(F.col("_held")), LABEL)
-            scores.write.mode("overwrite").parquet(f"{path}/setting={number}/fold={fold}")
+        (family, largest, served), (fold, vectors, n, binned) = task
+        fitted = fit_on(family.build(largest, n), vectors.filter(~F.col("_held")), binned)
+        scores = served_scores(family, fitted, vectors.filter(F.col("_held")), served)
+        scores.write.mode("overwrite").parquet(f"{path}/fit={served[0][0]}/fold={fold}")
+
+    def release(fold) -> None:
+        _, vectors, _, binned = fold
+        vectors.unpersist()
+        if binned:
+            binned.blocks.unpersist()
 
     prepared = []
     try:
@@ -214,12 +242,12 @@ def grid_scores(
                 # The longest fits are listed last; they start first, so that no core waits for them.
                 in_parallel(pool, run, [(task, fold) for task in reversed(tasks) for fold in prepared])
                 while prepared:
-                    prepared.pop()[1].unpersist()
+                    release(prepared.pop())
     finally:
-        for _, vectors, _ in prepared:
-            vectors.unpersist()
+        for fold in prepared:
+            release(fold)
         folded.unpersist()
-    held = spark.read.schema(f"{LABEL} double, {PROBABILITY} double, setting int, fold int").parquet(path)
+    held = spark.read.schema(f"{LABEL} double, {PROBABILITY} double, setting int, fit int, fold int").parquet(path)
     return roc_auc_by(held, ["setting", "fold"], LABEL)
 
 
@@ -258,25 +286,29 @@ def fit_pipelines(
 ) -> list[PipelineModel]:
     """Full pipelines for several (family, parameters) on the same rows.
 
-    They share one fit of the preprocessing and one cached set of vectors.
+    They share one fit of the preprocessing, one cached set of vectors and one of bins.
     """
     prepared = Pipeline(stages=training_stages()).fit(train)
     rows = laid_out(train.select(ID, *NUMERIC, *CATEGORICAL, LABEL), train.count())
     vectors = prepared.transform(rows).select(ID, LABEL, WEIGHT, FEATURES_COL)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    binned = None
     try:
         n = vectors.count()
+        estimators = [family.build(params, n) for family, params in chosen]
+        binned = binned_rows(estimators, vectors)
 
-        def fit(task):
-            estimator = task[0].build(task[1], n)
+        def fit(estimator):
             if isinstance(estimator, HistogramTrees) and n <= PARTITION_ROWS:
                 estimator._set(groups=parallelism)  # one task would read all rows: deal the trees instead
-            return estimator.fit(vectors)
+            return fit_on(estimator, vectors, binned)
 
         with ThreadPool(fits_at_once(n, parallelism)) as pool:
-            fitted = in_parallel(pool, fit, chosen)
+            fitted = in_parallel(pool, fit, estimators)
     finally:
         vectors.unpersist()
+        if binned:
+            binned.blocks.unpersist()
     return [PipelineModel([*prepared.stages, model]) for model in fitted]
 
 
