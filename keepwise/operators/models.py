@@ -297,14 +297,8 @@ def fit_pipelines(
         n = vectors.count()
         estimators = [family.build(params, n) for family, params in chosen]
         binned = binned_rows(estimators, vectors)
-
-        def fit(estimator):
-            if isinstance(estimator, HistogramTrees) and n <= PARTITION_ROWS:
-                estimator._set(groups=parallelism)  # one task would read all rows: deal the trees instead
-            return fit_on(estimator, vectors, binned)
-
         with ThreadPool(fits_at_once(n, parallelism)) as pool:
-            fitted = in_parallel(pool, fit, estimators)
+            fitted = in_parallel(pool, lambda estimator: fit_on(estimator, vectors, binned), estimators)
     finally:
         vectors.unpersist()
         if binned:
