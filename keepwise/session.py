@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows that parallel fits may hold in memory together, each fit keeping a copy of its own.
-ROWS_IN_FLIGHT = 50_000_000
+ROWS_IN_FLIGHT = 12_000_000
 
 
 def local_session(cpus: int | str = "*", app: str = "keepwise", **conf) -> SparkSession:
